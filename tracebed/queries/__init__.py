@@ -1,0 +1,6 @@
+"""All registered queries outside the llm subpackage, and their SQL twins."""
+
+from tracebed.queries import problems
+
+QUERIES = {**problems.QUERIES}
+ORACLE = {**problems.ORACLE}
