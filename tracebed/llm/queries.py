@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracebed.llm.batches import repeated_findings
 from tracebed.llm.mixing import mixture, mixture_shares
+from tracebed.llm.secrets import credential_lines, redacted_texts
 from tracebed.llm.spans import shared_lines, shared_share
 from tracebed.llm.tokens import encode_texts
 from tracebed.sources.tables import table
@@ -13,6 +14,14 @@ def p1_found(spark, d):
     return repeated_findings(table(spark, d, "scan_findings"), table(spark, d, "findings"))
 
 
+def p2_found(spark, d):
+    return credential_lines(table(spark, d, "source_files"), table(spark, d, "scan_findings"))
+
+
+def p2_redacted(spark, d):
+    return redacted_texts(table(spark, d, "source_files"), table(spark, d, "scan_findings"))
+
+
 def p5_found(spark, d):
     return shared_lines(table(spark, d, "tokenized_lines"))
 
@@ -33,7 +42,7 @@ def p7_mixture(spark, d):
     return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_share, p6_ids, p7_mixture, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p5_found, p5_share, p6_ids, p7_mixture, p7_shares)}
 
 _SPAN = """
 with lines as (
