@@ -139,7 +139,7 @@ def is_credential(value: str, announced: bool, password_place: bool = False) ->
     if announced or password_place:
         if not _DIGIT.search(value):
             # no digit: a random mix of cases in a long string, else a word, a path or a label
-            return len(value) >= 12 and wordlike(value) < 0.4 and _classes(value) >= 2 and randomness(value) >= STRICT
+            return len(value) >= 12 and wordlike(value) < 0.6 and _classes(value) >= 3 and randomness(value) >= LENIENT
         if re.fullmatch(r"[\d.,:%_-]+", value) or re.search(r"[()\[\]{}]", value):
             return False
         if re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+", value) and not _ISSUED.match(value) and wordlike(value) > 0.6:
