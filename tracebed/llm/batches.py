@@ -9,6 +9,7 @@ its join key, so a batch shuffles itself and never the history.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -35,10 +36,8 @@ PAIR_BUDGET = 50_000_000
 _LINE_NUMBER = re.compile(r"^[ \t]*\d+:", re.M)
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
-_FEATURES = pa.struct(
-    [("words", pa.list_(pa.int64())), ("chunks", pa.list_(pa.struct([("t", pa.binary()), ("bytes", pa.int32())]))), ("total", pa.int32())]
-)
-_FEATURES_DDL = "words array<bigint>, chunks array<struct<t: binary, bytes: int>>, total int"
+_CHUNKS = pa.list_(pa.struct([("t", pa.int64()), ("bytes", pa.int32())]))
+_CHUNKS_DDL = "array<struct<t: bigint, bytes: int>>"
 
 
 def snippet_words(snippet: str | None) -> set[str]:
@@ -46,6 +45,10 @@ def snippet_words(snippet: str | None) -> set[str]:
     return set(_WORD.findall(_LINE_NUMBER.sub("", snippet or "").lower()))
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _chunks(ordered: list[tuple[int, str]], salt: bytes, excess: bool) -> list[dict]:
     """Chunks of one ordering: a boundary where the rolling hash ends in a zero bit and the chunk is large enough."""
     import xxhash
@@ -61,7 +64,7 @@ def _chunks(ordered: list[tuple[int, str]], salt: bytes, excess: bool) -> list[d
     if start < len(ordered) and (not out or size >= (CHUNK_EXCESS if excess else SHORT_CHUNK)):
         out.append((start, len(ordered)))
     return [
-        {"t": xxhash.xxh3_128_digest(salt + b"\0".join(w.encode("utf-8", "surrogatepass") for _, w in ordered[a:b])), "bytes": sum(len(w) for _, w in ordered[a:b])}
+        {"t": _signed(xxhash.xxh3_64_intdigest(salt + b"\0".join(w.encode("utf-8", "surrogatepass") for _, w in ordered[a:b]))), "bytes": sum(len(w) for _, w in ordered[a:b])}
         for a, b in out
     ]
 
@@ -83,21 +86,40 @@ def snippet_features(snippet: str | None) -> dict | None:
             chunks += _chunks(turned, salt, True)
         if excess < SHORT_SET:
             chunks += _chunks(turned, salt + b"s", False)
-    signed = sorted(h - (1 << 64) if h >> 63 else h for h, _ in hashed)
-    return {"words": signed, "chunks": chunks, "total": 2 * sum(map(len, words))}
+    # 32 bits a word are enough to compare two sets: of a hundred words two collide once in a million pairs
+    short = sorted({_signed(h) >> 32 for h, _ in hashed})
+    return {"cls": xxhash.xxh3_128_digest(b"\0".join(sorted(w.encode("utf-8", "surrogatepass") for w in words))), "words": short, "chunks": chunks, "total": 2 * sum(map(len, words))}
 
 
-def with_features(rows: DataFrame, snippet: str, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` and the snippet's features (nulls for a short one)."""
+def with_features(rows: DataFrame) -> DataFrame:
+    """The rows with cls (the 128-bit name of the word set, null for a short one), words, chunks and total.
+
+    Copies of one word set within a task and batch carry words and chunks once, with the first of them: a set that a
+    third of all rows share leaves each task as one row of postings. The snippet itself, the last column, is dropped.
+    """
+    keep = rows.columns[:-1]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
-            found = pa.array([snippet_features(s) for s in batch.column(len(keep)).to_pylist()], type=_FEATURES)
-            parts = found.flatten()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *parts], names=[*keep, "words", "chunks", "total"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.select(*keep, snippet).mapInArrow(compute, f"{fields}, {_FEATURES_DDL}")
+            out = []
+            for no, snippet in zip(batch.column(1).to_pylist(), batch.column(len(keep)).to_pylist()):
+                found = snippet_features(snippet)
+                key = found and (no, found["cls"])
+                if found is None:
+                    out.append((None, None, None, None))
+                elif key in seen:
+                    out.append((found["cls"], None, None, None))
+                else:
+                    if len(seen) < 1_000_000:  # beyond that copies only cost time
+                        seen.add(key)
+                    out.append((found["cls"], found["words"], found["chunks"], found["total"]))
+            columns = list(zip(*out)) if out else [[]] * 4
+            types = (pa.binary(), pa.list_(pa.int32()), _CHUNKS, pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), t) for c, t in zip(columns, types))], names=[*keep, "cls", "words", "chunks", "total"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return rows.mapInArrow(compute, f"{fields}, cls binary, words array<int>, chunks {_CHUNKS_DDL}, total int")
 
 
 def _token(kind: str, value: Column) -> Column:
@@ -109,172 +131,174 @@ def _norm(name: str) -> Column:
 
 
 class AcceptedHistory:
-    """Persistent tables of accepted records: postings (token, rec, bytes) and the records themselves with their word sets.
+    """Persistent tables of what was accepted, bucketed by their join keys so that a batch shuffles itself alone.
 
-    Both are bucketed by their join key, so joining a batch shuffles the batch alone. The files lie in the shared
-    folder; the catalog entries carry ``name``.
+    keys (k, rec): fingerprints and word-set names; postings (t, rec, bytes): chunks; sets (rec, words). The files lie in
+    the shared folder, the catalog entries carry ``name``.
     """
 
-    RECORDS = "rec bigint, batch_no int, s binary, f binary, cls binary, known boolean, words array<bigint>, chunks array<struct<t: binary, bytes: int>>, total int"
+    TABLES = {"keys": ("k binary, rec bigint", "k"), "postings": ("t bigint, rec bigint, bytes int", "t"), "sets": ("rec bigint, words array<int>", "rec")}
 
     def __init__(self, scratch: Scratch, name: str | None = None):
         self.spark, self.scratch = scratch.spark, scratch
         self.name = name or f"accepted_{uuid.uuid4().hex[:10]}"
         self.buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        for table, columns, key in (("postings", "t binary, rec bigint, bytes int", "t"), ("records", self.RECORDS, "rec")):
+        for table, (columns, key) in self.TABLES.items():
             self.spark.sql(f"create table {self.name}_{table} ({columns}) using parquet clustered by ({key}) into {self.buckets} buckets location '{self.path(table)}'")
 
     def path(self, table: str) -> str:
         return self.scratch.path(f"{self.name}-{table}")
 
-    def _append(self, df: DataFrame, table: str, key: str) -> None:
-        writer = df.repartition(self.buckets, key).write.format("parquet").bucketBy(self.buckets, key)
-        writer.mode("append").option("path", self.path(table)).saveAsTable(f"{self.name}_{table}")
-
-    @property
-    def postings(self) -> DataFrame:
-        return self.spark.table(f"{self.name}_postings")
+    def table(self, table: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{table}")
 
-    @property
-    def records(self) -> DataFrame:
-        return self.spark.table(f"{self.name}_records")
+    def append(self, rows: DataFrame, table: str) -> None:
+        key = self.TABLES[table][1]
+        writer = rows.repartition(self.buckets, key).write.format("parquet").bucketBy(self.buckets, key)
+        writer.mode("append").option("path", self.path(table)).saveAsTable(f"{self.name}_{table}")
 
-    def append(self, accepted: DataFrame, first: int, last: int) -> None:
-        """Append prepared rows whose rec lies in first..last: the records, then their keys and chunks as postings."""
-        self._append(accepted, "records", "rec")
-        added = self.records.where(F.col("rec").between(first, last))
-        self._append(_keys(added).unionByName(_chunk_postings(added)).select("t", "rec", "bytes"), "postings", "t")
+    def accepted(self) -> DataFrame:
+        """rec of everything accepted so far."""
+        return self.table("keys").select("rec").distinct()
 
     def drop(self) -> None:
-        for table in ("postings", "records"):
+        for table in self.TABLES:
             self.spark.sql(f"drop table if exists {self.name}_{table}")
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """rec, t, bytes 0: one row for each key (fingerprints and whole word set) of a record."""
-    tokens = F.filter(F.array("s", "f", "cls"), lambda t: t.isNotNull())
-    return rows.select("rec", F.explode(tokens).alias("t"), F.lit(0).alias("bytes"))
-
-
-def _chunk_postings(rows: DataFrame) -> DataFrame:
-    return rows.where("cls is not null").select("rec", F.explode("chunks").alias("c")).select("rec", "c.t", "c.bytes")
-
-
-def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch) -> DataFrame:
-    """rec, batch_no, s, f, cls, known, words, chunks, total of each finding of the batches.
+def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: rows (rec, batch_no, keys, known) of each finding, and features (see ``with_features``).
 
     ``known``: a fingerprint that the findings index had first seen before the batch. Fingerprints compare without
-    letter case and outer blanks, missing ones equal nothing; an unreadable first_seen is never before a batch. Repeated rows count
-    once; were a finding_no to come with several contents, the greatest counts.
+    letter case and outer blanks, missing ones equal nothing; an unreadable first_seen is before no batch. Repeated
+    rows count once; were a finding_no to come with several contents, the greatest counts.
     """
-    slim = with_features(
-        scan.where("finding_no is not null").select(
-            F.col("finding_no").alias("rec"), "batch_no", F.col("batch_at").cast("timestamp_ntz").alias("batch_at"), _norm("semantic_fingerprint").alias("sfp"), _norm("fingerprint").alias("fp"), F.col("code_snippet").alias("snippet")
-        ),
-        "snippet",
-        ["rec", "batch_no", "batch_at", "sfp", "fp"],
+    read = scan.where("finding_no is not null").select(
+        F.col("finding_no").cast("long").alias("rec"),
+        F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"),
+        F.col("batch_at").cast("timestamp_ntz").alias("at"),
+        _token("s", _norm("semantic_fingerprint")).alias("s"),
+        _token("f", _norm("fingerprint")).alias("f"),
+        F.col("code_snippet").alias("snippet"),
     )
-    slim = slim.groupBy("rec").agg(F.max(F.struct("batch_no", "batch_at", "sfp", "fp", "words", "chunks", "total")).alias("v")).select("rec", "v.*")
-    seen = findings.select(utc_time(F.col("first_seen")).alias("at"), F.explode(F.array(F.struct(F.lit("s").alias("k"), _norm("semantic_fingerprint").alias("v")), F.struct(F.lit("f").alias("k"), _norm("fingerprint").alias("v")))).alias("e"))
-    first = seen.where("e.v is not null and at is not null").groupBy(F.col("e.k").alias("k"), F.col("e.v").alias("v")).agg(F.min("at").alias("at"))
-    by = lambda kind, col: first.where(F.col("k") == kind).select(F.col("v").alias(col), F.col("at").alias(f"{col}_at"))
-    joined = slim.join(by("s", "sfp"), "sfp", "left").join(by("f", "fp"), "fp", "left")
-    before = lambda c: F.coalesce(F.col(f"{c}_at") < F.col("batch_at"), F.lit(False))
-    rows = joined.select(
-        "rec",
-        "batch_no",
-        _token("s", F.col("sfp")).alias("s"),
-        _token("f", F.col("fp")).alias("f"),
-        F.when(F.size("words") >= MIN_WORDS, _token("w", F.array_join(F.transform("words", lambda w: w.cast("string")), ","))).alias("cls"),
-        (before("sfp") | before("fp")).alias("known"),
-        "words",
-        "chunks",
-        "total",
-    )
-    return scratch.spark.read.schema(rows.schema).parquet(scratch.write(rows, "prepared"))
+    both = scratch.keep(with_features(read), "features")
+    features = both.where("words is not null").select("rec", "batch_no", "cls", "words", "chunks", "total")
+    slim = both.groupBy("rec").agg(F.max(F.struct("batch_no", "at", "s", "f", "cls")).alias("v")).select("rec", "v.*")
+    tokens = F.filter(F.array(_token("s", _norm("semantic_fingerprint")), _token("f", _norm("fingerprint"))), lambda t: t.isNotNull())
+    first = findings.select(utc_time(F.col("first_seen")).alias("seen"), F.explode(tokens).alias("k")).where("seen is not null").groupBy("k").agg(F.min("seen").alias("seen"))
+    keys = F.filter(F.array("s", "f"), lambda t: t.isNotNull())
+    known = slim.select("rec", "at", F.explode(keys).alias("k")).join(first, "k").where("seen < at").select("rec").distinct().withColumn("known", F.lit(True))
+    rows = slim.join(known, "rec", "left").select("rec", "batch_no", F.filter(F.array("s", "f", "cls"), lambda t: t.isNotNull()).alias("keys"), F.coalesce("known", F.lit(False)).alias("known"))
+    return scratch.keep(rows, "rows"), features
+
 
+def _postings(features: DataFrame) -> DataFrame:
+    return features.select("rec", F.explode("chunks").alias("c")).select("c.t", "rec", "c.bytes")
 
-def _similar(a: str, b: str) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared) >= MIN_SIMILARITY
 
+def _members(rows: DataFrame) -> DataFrame:
+    return rows.select("rec", F.explode("keys").alias("k"))
 
-def judge_run(rows: DataFrame, first: int, last: int, history: AcceptedHistory, scratch: Scratch) -> None:
-    """Append to the history those of a run's prepared rows (rec in first..last, all later than the history) that are accepted.
 
-    Rows are taken in order of rec. A row is a repeat when a key or word set like its own was accepted before, in the
-    history or earlier in the run. Rows whose answer hangs on earlier rows of the run are settled in rounds: a row with
-    no undecided earlier row like it is accepted, then all later ones like it are repeats. Equal keys and equal
-    word sets act as groups with one least member, never as pairs.
+def like_pairs(features: DataFrame, history: AcceptedHistory) -> DataFrame:
+    """k, other: word sets of a run that are alike, and (other null) those like an accepted record.
+
+    Chunks are joined once with the history's and once with the run's own; the bytes that a pair shares, summed over its
+    chunks, must cover MIN_COVERAGE, then the sets themselves are compared.
+    """
+    posted = _postings(features)
+    old = history.table("postings").select("t", F.col("rec").alias("old"))
+    past = posted.join(old, "t").groupBy("rec", "old").agg(F.sum("bytes").alias("shared"))
+    inside = posted.join(posted.select("t", F.col("rec").alias("old")), "t").where("old < rec").groupBy("rec", "old").agg(F.sum("bytes").alias("shared"))
+    own = features.select("rec", F.col("cls").alias("k"), "words", "total")
+    shared = F.size(F.array_intersect("words", "old_words"))
+    alike = (F.col("shared") >= MIN_COVERAGE * F.col("total")) & (shared / (F.size("words") + F.size("old_words") - shared) >= MIN_SIMILARITY)
+    old_sets = history.table("sets").select(F.col("rec").alias("old"), F.col("words").alias("old_words"))
+    own_sets = features.select(F.col("rec").alias("old"), F.col("words").alias("old_words"), F.col("cls").alias("other"))
+    like_old = past.join(own, "rec").join(old_sets, "old").where(alike).select("k", F.lit(None).cast("binary").alias("other"))
+    like_own = inside.join(own, "rec").join(own_sets, "old").where(alike).where("k <> other").select("k", "other")
+    return like_old.unionByName(like_own)
+
+
+def judge_run(rows: DataFrame, features: DataFrame, run: tuple[int, int, int, int], history: AcceptedHistory, scratch: Scratch) -> None:
+    """Append to the history what is accepted of a run: rows of batches run[0..1] with rec in run[2..3].
+
+    The run comes after everything in the history and is taken in order of rec. A row is a repeat when a key or a word
+    set like its own was accepted before, in the history or earlier in the run. Rows whose answer hangs on earlier rows
+    of the run are settled in rounds: a row with no undecided earlier row like it is accepted, then all later ones like
+    it are repeats. Equal keys and equal word sets act as groups with one least member, never as pairs.
     """
-    fresh = rows.where(F.col("rec").between(first, last) & ~F.col("known"))
-    sets = fresh.where("cls is not null").groupBy("cls").agg(F.min("rec").alias("rec"), F.first("words").alias("words"), F.first("chunks").alias("chunks"), F.first("total").alias("total"))
-    posted = _chunk_postings(sets)
-    past = history.postings
-    with_past = posted.join(past.select("t", F.col("rec").alias("old")), "t").groupBy("rec", "old").agg(F.sum("bytes").alias("shared"))
-    within = posted.join(posted.select("t", F.col("rec").alias("old")), "t").where("old < rec").groupBy("rec", "old").agg(F.sum("bytes").alias("shared"))
-    enough = F.col("shared") >= MIN_COVERAGE * F.col("total")
-    own = sets.select("rec", "cls", "words", "total")
-    old_sets = history.records.select(F.col("rec").alias("old"), F.col("words").alias("old_words"))
-    new_sets = sets.select(F.col("rec").alias("old"), F.col("words").alias("old_words"), F.col("cls").alias("old_cls"))
-    like_past = with_past.join(own, "rec").where(enough).join(old_sets, "old").where(_similar("words", "old_words")).select("cls", F.lit(None).cast("binary").alias("old_cls"))
-    like_within = within.join(own, "rec").where(enough).join(new_sets, "old").where(_similar("words", "old_words")).select("cls", "old_cls")
-    links = scratch.keep(like_past.unionByName(like_within), "links")
-
-    keyed = _keys(fresh).select("rec", "t").join(past.where("bytes = 0").select("t", F.lit(True).alias("taken")).distinct(), "t", "left")
-    like_old = links.where("old_cls is null").select(F.col("cls").alias("t"), F.lit(True).alias("close")).distinct()
-    keyed = keyed.join(like_old, "t", "left")
-    gone = keyed.groupBy("rec").agg(F.max(F.coalesce("taken", "close", F.lit(False))).alias("gone"))
-    # rows without any key have nothing to repeat
-    alive = fresh.join(gone.where("gone"), "rec", "left_anti")
-    pairs = links.where("old_cls is not null")
-    both = pairs.select(F.col("cls").alias("t"), F.col("old_cls").alias("other")).unionByName(pairs.select(F.col("old_cls").alias("t"), F.col("cls").alias("other")))
-    members = _keys(alive).select("rec", "t")
-    crowded = members.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t").unionByName(both.select("t")).distinct()
-    contested = scratch.keep(members.join(crowded, "t", "left_semi"), "contested")
-    repeats = [gone.where("gone").select("rec")]
-    left = contested
+    in_run = F.col("batch_no").between(run[0], run[1])
+    fresh = rows.where(in_run & F.col("rec").between(run[2], run[3]) & ~F.col("known"))
+    features = features.where(in_run)
+    links = scratch.keep(like_pairs(features, history), "links")
+    taken = history.table("keys").select("k").unionByName(links.where("other is null").select("k"))
+    gone = _members(fresh).join(taken, "k", "left_semi").select("rec").distinct()
+    alive = fresh.join(gone, "rec", "left_anti")
+    pairs = links.where("other is not null")
+    both = pairs.select("k", "other").unionByName(pairs.select(F.col("other").alias("k"), F.col("k").alias("other")))
+    members = _members(alive)
+    crowded = members.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k").unionByName(both.select("k")).distinct()
+    left = scratch.keep(members.join(crowded, "k", "left_semi"), "contested")
+    repeats = [gone]
     while not left.isEmpty():
-        least = left.groupBy("t").agg(F.min("rec").alias("lo"))
-        linked = both.join(least.withColumnRenamed("t", "other"), "other").groupBy("t").agg(F.min("lo").alias("lo2"))
-        leader = left.join(least, "t").join(linked, "t", "left").groupBy("rec").agg(F.min(F.least("lo", F.coalesce("lo2", "lo"))).alias("lo")).where("lo = rec").select("rec")
-        taken = left.join(leader, "rec", "left_semi").groupBy("t").agg(F.min("rec").alias("by"))
-        near = both.join(taken.withColumnRenamed("t", "other"), "other").groupBy("t").agg(F.min("by").alias("by2"))
-        verdict = left.join(taken, "t", "left").join(near, "t", "left").groupBy("rec").agg(F.min(F.least("by", "by2")).alias("by"))
+        least = left.groupBy("k").agg(F.min("rec").alias("lo"))
+        linked = both.join(least.withColumnRenamed("k", "other"), "other").groupBy("k").agg(F.min("lo").alias("lo2"))
+        leader = left.join(least, "k").join(linked, "k", "left").groupBy("rec").agg(F.min(F.least("lo", F.coalesce("lo2", "lo"))).alias("lo")).where("lo = rec").select("rec")
+        by = left.join(leader, "rec", "left_semi").groupBy("k").agg(F.min("rec").alias("by"))
+        near = both.join(by.withColumnRenamed("k", "other"), "other").groupBy("k").agg(F.min("by").alias("by2"))
+        verdict = left.join(by, "k", "left").join(near, "k", "left").groupBy("rec").agg(F.min(F.least("by", "by2")).alias("by"))
         settled = scratch.keep(verdict.where("by is not null").select("rec", (F.col("by") < F.col("rec")).alias("repeat")), "settled")
         repeats.append(settled.where("repeat").select("rec"))
         left = left.join(settled, "rec", "left_anti")
-    accepted = fresh.join(reduce(DataFrame.unionByName, repeats).distinct(), "rec", "left_anti")
-    history.append(accepted, first, last)
+    accepted = scratch.keep(fresh.join(reduce(DataFrame.unionByName, repeats), "rec", "left_anti").select("rec", "keys"), "accepted")
+    # a record without any key is kept too, under a key of its own
+    named = accepted.withColumn("keys", F.when(F.size("keys") == 0, F.array(_token("r", F.col("rec").cast("string")))).otherwise(F.col("keys")))
+    history.append(_members(named).select("k", "rec"), "keys")
+    kept = features.join(_members(accepted).select(F.col("k").alias("cls")), "cls", "left_semi")
+    history.append(_postings(kept), "postings")
+    history.append(kept.select("rec", "words"), "sets")
 
 
-def runs_of(prepared: DataFrame) -> list[tuple[int, int, int]]:
-    """(batch_no, first rec, last rec) of the runs to judge, in order: a batch, or parts of one with very common chunks."""
-    fresh = prepared.where("not known")
-    load = _chunk_postings(fresh.dropDuplicates(["batch_no", "cls"])).join(fresh.select("rec", "batch_no"), "rec").groupBy("batch_no", "t").count()
-    loads = load.groupBy("batch_no").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"))
-    batches = prepared.groupBy("batch_no").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).join(loads, "batch_no", "left").orderBy("batch_no")
-    runs = []
-    for b in batches.collect():  # one row per batch
-        parts = int((b["pairs"] or 0) // PAIR_BUDGET) + 1
-        step = (b["b"] - b["a"]) // parts + 1
-        runs += [(b["batch_no"], b["a"] + i * step, min(b["b"], b["a"] + (i + 1) * step - 1)) for i in range(parts)]
-    return runs
+def runs_of(rows: DataFrame, features: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(first batch, last batch, first rec, last rec) of the runs to judge, in order.
+
+    The newest batch is a run of its own. The batches before it are loaded together as far as the pairs that their
+    common chunks propose stay within PAIR_BUDGET, and in parts, down to parts of a batch, beyond: what was accepted
+    in a part keeps its repeats from pairing up in the next.
+    """
+    batches = [(r["batch_no"], r["a"], r["b"], r["n"]) for r in rows.groupBy("batch_no").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.count("*").alias("n")).orderBy("batch_no").collect()]
+    if not batches:
+        return []
+    alike = _postings(features).groupBy("t").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    pairs_per_row2 = (alike or 0.0) / max(1, sum(b[3] for b in batches)) ** 2
+    most = math.sqrt(PAIR_BUDGET / pairs_per_row2) if pairs_per_row2 else math.inf
+    runs: list[list[int]] = []
+    size = 0
+    for i, (no, a, b, n) in enumerate(batches):
+        if runs and size + n <= most and i < len(batches) - 1:
+            runs[-1][1], runs[-1][3], size = no, max(runs[-1][3], b), size + n
+            continue
+        parts = max(1, math.ceil(n / most)) if most < math.inf else 1
+        step = (b - a) // parts + 1
+        runs += [[no, no, a + j * step, min(b, a + (j + 1) * step - 1)] for j in range(parts)]
+        size = n if parts == 1 else math.inf
+    return [tuple(r) for r in runs]
 
 
 def repeated_findings(scan: DataFrame, findings: DataFrame) -> DataFrame:
     """finding_no of each row of the batches that repeats something known or accepted before it.
 
-    Batches are judged one after the other, each against the history its predecessors left. A null batch number
-    counts as the first batch. Empty tables give no rows.
+    The history is built up run by run, the newest batch being judged against all before it; a batch that comes later
+    needs one more ``judge_run`` against the same history. A null batch number counts as 0. Empty tables give no rows.
     """
     scratch = Scratch(scan.sparkSession, "batches")
-    prepared = prepare(scan, findings, scratch)
+    rows, features = prepare(scan, findings, scratch)
     history = AcceptedHistory(scratch)
-    runs = runs_of(prepared)
-    for batch, a, b in runs:
-        judge_run(prepared.where(F.col("batch_no").eqNullSafe(batch)), a, b, history, scratch)
-    accepted = history.spark.read.schema(AcceptedHistory.RECORDS).parquet(history.path("records")) if runs else history.records
-    out = prepared.select(F.col("rec").alias("finding_no")).join(accepted.select(F.col("rec").alias("finding_no")), "finding_no", "left_anti")
+    for run in runs_of(rows, features):
+        judge_run(rows, features, run, history, scratch)
+    columns, _ = AcceptedHistory.TABLES["keys"]
+    written = history.spark.read.schema(columns).parquet(history.path("keys")) if not rows.isEmpty() else history.table("keys")
+    out = rows.select(F.col("rec").alias("finding_no")).join(written.select(F.col("rec").alias("finding_no")), "finding_no", "left_anti")
     history.drop()
     return out
