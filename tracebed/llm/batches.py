@@ -24,12 +24,14 @@ from tracebed.session import Scratch
 
 MIN_WORDS = 10
 MIN_SIMILARITY = 0.7
-#: share of a snippet's bytes (in both chunkings together) that must lie in shared chunks before words are compared
+#: share of a snippet's bytes (in all chunkings together) that must lie in shared chunks before words are compared
 MIN_COVERAGE = 0.01
 #: letters of a word beyond ``COMMON_LENGTH`` count towards the ``CHUNK_EXCESS`` that closes a chunk: short words are common and select nothing
 COMMON_LENGTH, CHUNK_EXCESS = 7, 16
 #: sets with less excess than this are (also) chunked by plain bytes
 SHORT_SET, LONG_SET, SHORT_CHUNK = 96, 48, 8
+#: salts and odd multipliers that put a set's word hashes in different orders
+ORDERINGS = ((b"a", 1), (b"b", 0x9E3779B97F4A7C15), (b"c", 0xC2B2AE3D27D4EB4F))
 #: pairs that chunks of one run may propose inside the run; a batch with more is judged in several runs, in order
 PAIR_BUDGET = 50_000_000
 
@@ -50,15 +52,15 @@ def _signed(h: int) -> int:
 
 
 def _chunks(ordered: list[tuple[int, str]], salt: bytes, excess: bool) -> list[dict]:
-    """Chunks of one ordering: a boundary where the rolling hash ends in a zero bit and the chunk is large enough."""
+    """Chunks of one ordering: a boundary where the rolling hash does not end in two zero bits and the chunk is large enough."""
     import xxhash
 
     out, start, size, rolling = [], 0, 0, 0
     for i, (h, word) in enumerate(ordered):
         rolling = ((rolling << 1) ^ h) & _MASK
         size += max(0, len(word) - COMMON_LENGTH) if excess else len(word)
-        # the lowest bit of the rolling hash depends on the last word alone, so boundaries come back after a change
-        if not rolling & 1 and size >= (CHUNK_EXCESS if excess else SHORT_CHUNK):
+        # the lowest bits of the rolling hash depend on the last words alone, so boundaries come back after a change
+        if rolling & 3 and size >= (CHUNK_EXCESS if excess else SHORT_CHUNK):
             out.append((start, i + 1))
             start, size = i + 1, 0
     if start < len(ordered) and (not out or size >= (CHUNK_EXCESS if excess else SHORT_CHUNK)):
@@ -79,8 +81,9 @@ def snippet_features(snippet: str | None) -> dict | None:
     hashed = [(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), w) for w in words]
     excess = sum(max(0, len(w) - COMMON_LENGTH) for w in words)
     chunks = []
-    # two orderings of the same words: a pair whose edits break every chunk of one keeps some of the other
-    for salt, order in ((b"a", sorted(hashed)), (b"b", sorted(((h * 0x9E3779B97F4A7C15) & _MASK, w) for h, w in hashed))):
+    # several orderings of the same words: a pair whose edits break every chunk of one keeps some of another
+    for salt, turn in ORDERINGS:
+        order = sorted(((h * turn) & _MASK, w) for h, w in hashed)
         turned = [((h >> 32) ^ h, w) for h, w in order]
         if excess >= LONG_SET:
             chunks += _chunks(turned, salt, True)
@@ -88,7 +91,7 @@ def snippet_features(snippet: str | None) -> dict | None:
             chunks += _chunks(turned, salt + b"s", False)
     # 32 bits a word are enough to compare two sets: of a hundred words two collide once in a million pairs
     short = sorted({_signed(h) >> 32 for h, _ in hashed})
-    return {"cls": xxhash.xxh3_128_digest(b"\0".join(sorted(w.encode("utf-8", "surrogatepass") for w in words))), "words": short, "chunks": chunks, "total": 2 * sum(map(len, words))}
+    return {"cls": xxhash.xxh3_128_digest(b"\0".join(sorted(w.encode("utf-8", "surrogatepass") for w in words))), "words": short, "chunks": chunks, "total": len(ORDERINGS) * sum(map(len, words))}
 
 
 def with_features(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracebed.llm.batches import repeated_findings
+from tracebed.llm.garbled import damaged_documents, restored_documents
 from tracebed.llm.mixing import mixture, mixture_shares
 from tracebed.llm.secrets import credential_lines, redacted_texts
 from tracebed.llm.spans import shared_lines, shared_share
@@ -42,7 +43,15 @@ def p7_mixture(spark, d):
     return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p5_found, p5_share, p6_ids, p7_mixture, p7_shares)}
+def p8_found(spark, d):
+    return damaged_documents(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark, d):
+    return restored_documents(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p5_found, p5_share, p6_ids, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 _SPAN = """
 with lines as (
