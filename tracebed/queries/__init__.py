@@ -1,6 +1,6 @@
 """All registered queries outside the llm subpackage, and their SQL twins."""
 
-from tracebed.queries import problems
+from tracebed.queries import problems, reference
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLE = {**problems.ORACLE, **reference.ORACLE}
