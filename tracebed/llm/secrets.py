@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 MASK = "***REDACTED***"
 #: share of a random string's entropy that an unannounced, an announced value must reach
 STRICT, LENIENT = 0.86, 0.66
+#: characters before and after a value in which words may announce it
+CONTEXT = 200
 #: least length of an unannounced, an announced value
 STRICT_LENGTH, LENIENT_LENGTH = 20, 8
 
@@ -62,15 +64,15 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 #: places a value can stand in, tried in this order; group v is the value, group n (where there is one) its name
 _PLACES = [
-    re.compile(r"[a-z][\w+.-]*://[^\s/:@'\"]*:(?P<v>[^\s/'\"]+?)@(?=[\w.-]+)", re.I),
+    re.compile(r"(?<![\w+.-])[a-z][\w+.-]*://[^\s/:@'\"]*:(?P<v>[^\s/'\"]+?)@(?=[\w.-]+)", re.I),
     re.compile(r"(?:^|\s)-u\s+['\"]?[\w.@-]+:(?P<v>[^\s'\"]+)"),
     re.compile(r"\b(?P<n>sshpass\s+-p|identified\s+by|with\s+password|password\s+is|passphrase\s+is|pass\s+is|token\s+is|login\s+\S+\s+password|bearer|basic)\s+(?P<q>['\"]?)(?P<v>[^\s'\"`;,)<>]+)", re.I),
     re.compile(r"<(?P<n>[\w.:-]+)>(?P<v>[^<>\s]+)</"),
     re.compile(r"key\s*=\s*[\"'](?P<n>[^\"']+)[\"']\s+value\s*=\s*[\"'](?P<v>[^\"']+)[\"']", re.I),
     re.compile(r"\b(?P<n>login|authenticate|sign_?in|log_?in)\s*\(\s*['\"][^'\"]*['\"]\s*,\s*(?P<q>['\"])(?P<v>(?:(?!(?P=q)).)+)(?P=q)", re.I),
     re.compile(r"[\"'](?P<n>[\w.-]+)[\"']\s*[,:]\s*(?P<q>[\"'])(?P<v>(?:(?!(?P=q)).)+)(?P=q)"),
-    re.compile(r"(?P<n>[^\W\d][\w.-]*)\s*(?::=|=>|[:=])\s*\(?\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)+)(?P=q)"),
-    re.compile(r"(?P<n>[^\W\d][\w.-]*)\s*(?:=|:\s)\s*(?P<v>[^\s\"'`;,&|()<>\[\]{}]+)"),
+    re.compile(r"(?<![\w.-])-{0,2}(?P<n>\w[\w.-]*)\s*(?::=|=>|[:=])\s*\(?\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).)+)(?P=q)"),
+    re.compile(r"(?<![\w.-])-{0,2}(?P<n>\w[\w.-]*)\s*(?:=|:\s)\s*(?P<v>[^\s\"'`;,&|()<>\[\]{}]+)"),
     re.compile(r"^\s*(?:ENV|ARG)\s+(?P<n>\w+)\s+(?P<v>\S+)"),
     re.compile(r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).){6,}?)(?P=q)"),
     re.compile(r"(?<![\w+/=.$-])(?P<v>[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{14,}={0,2})(?![\w+/-])"),
@@ -164,7 +166,7 @@ def _announced(line: str, at: int, end: int, name: str | None) -> bool | None:
             return None
         if _ANNOUNCED.search(spelt.replace("_", " ")):
             return True
-    rest = _CAMEL.sub(" ", f"{line[:at]} \0 {line[end:]}").replace("_", " ")
+    rest = _CAMEL.sub(" ", f"{line[max(0, at - CONTEXT) : at]} \0 {line[end : end + CONTEXT]}").replace("_", " ")
     before = rest.split("\0")[0]
     if re.search(rf"(?:{_HARMLESS})\s*[:=(]*\s*[\"'`]?\s*$", before, re.I):
         return None
@@ -199,7 +201,7 @@ def line_spans(line: str) -> list[tuple[int, int]]:
         parts = list(re.finditer(r"(?P<q>[\"'])(?P<v>[^\"']+)(?P=q)", line))
         whole = "".join(p["v"] for p in parts)
         if len(parts) > 1 and re.fullmatch(r"[\"'](?:[^\"']*[\"']\s*\+\s*[\"'])+[^\"']*[\"']", line[parts[0].start() : parts[-1].end()]):
-            name = re.search(r"(\w[\w.-]*)\s*[:=(]+\s*$", line[: parts[0].start()])
+            name = re.search(r"(\w[\w.-]*)\s*[:=(]+\s*$", line[max(0, parts[0].start() - CONTEXT) : parts[0].start()])
             said = _announced(line, parts[0].start(), parts[-1].end(), name and name[1])
             if said is not None and is_credential(whole, said):
                 spans.clear()
@@ -300,7 +302,7 @@ def text_spans(lines: list[str | None]) -> dict[int, list[tuple[int, int]]]:
                 if closed:
                     break
             if parts:
-                name = re.search(r"(\w[\w.-]*)\s*[:=]+\s*\(?\s*$", line[: first.start("q")])
+                name = re.search(r"(\w[\w.-]*)\s*[:=]+\s*\(?\s*$", line[max(0, first.start("q") - CONTEXT) : first.start("q")])
                 said = _announced(line, first.start("v"), first.end("v"), name and name[1])
                 if said is not None and is_credential(first["v"] + "".join(p[2] for p in parts), said):
                     out[i] = sorted({*out.get(i, []), first.span("v")})
