@@ -124,3 +124,33 @@ def test_empty_tables(spark):
 def test_short_words_have_chunks_too(n):
     made = batches.snippet_features(" ".join(f"w{i}" for i in range(n)))
     assert len(made["words"]) == n and made["chunks"]
+
+
+def test_long_sets_of_short_words_with_few_long_ones(spark):
+    # like pairs of such sets shared no chunk in most cases when chunks were closed by letters of long words alone
+    rng = random.Random(3)
+    scan = []
+    for _ in range(20):
+        base = [f"v{rng.randrange(10**5)}" for _ in range(200)] + [f"announce_{rng.randrange(10**6):06d}" for _ in range(12)]
+        near = [w if rng.random() < 0.86 else f"u{rng.randrange(10**5)}" for w in base]
+        scan += [(len(scan) + i + 1, 1 + i, None, None, " ".join(w)) for i, w in enumerate((base, near))]
+    want = brute(scan)
+    assert len(want) >= 10 and found(spark, scan) == want
+
+
+def test_a_batch_prepared_later_in_the_order_of_the_history(spark):
+    rng = random.Random(21)
+    codes = snippets(rng, 80)
+    scan = [(i + 1, 1 + i // 60, None, None, codes[i]) for i in range(80)]
+    scratch = Scratch(spark, "t")
+    history = AcceptedHistory(scratch)
+    first, findings = tables(spark, scan[:60])
+    sets = batches.with_features(first.select("finding_no", "batch_no", "code_snippet")).where("chunks is not null")
+    order = scratch.keep(batches.word_frequencies(sets))
+    for part in (first, tables(spark, scan[60:])[0]):
+        rows, features = prepare(part, findings, scratch, order)
+        for run in runs_of(rows, features):
+            judge_run(rows, features, run, history, scratch)
+    accepted = {r.rec for r in history.accepted().collect()}
+    history.drop()
+    assert {r[0] for r in scan} - accepted == brute(scan)

@@ -1,10 +1,10 @@
-"""Judging new batches of findings against all that was accepted before, by content-defined chunks.
+"""Judging new batches of findings against all that was accepted before, by the rarest words of each set.
 
-A snippet's distinct words, in the order of their hashes, are a stream; a rolling hash of it sets chunk boundaries, so
-snippets with mostly the same words share most chunks wherever they differ. A persistent table maps chunks (and
-fingerprints) to accepted records. A batch joins that table once: shared bytes by pair give the coverage that
-makes a candidate, an exact comparison of word sets decides, and what is accepted is appended. History is bucketed by
-its join key, so a batch shuffles itself and never the history.
+Two word sets with a similarity of MIN_SIMILARITY share one of their rarest words at least: put all words in one order,
+and the first ``n - ceil(MIN_SIMILARITY * n) + 1`` of a set of n can't all be missing from a set like it. A persistent
+table maps those words (and fingerprints) to accepted records. A batch joins that table once; an exact comparison of
+word sets decides on the pairs that this proposes, which are all that can be alike, and what is accepted is appended.
+History is bucketed by its join key, so a batch shuffles itself and never the history.
 """
 
 from __future__ import annotations
@@ -24,22 +24,12 @@ from tracebed.session import Scratch
 
 MIN_WORDS = 10
 MIN_SIMILARITY = 0.7
-#: share of a snippet's bytes (in all chunkings together) that must lie in shared chunks before words are compared
-MIN_COVERAGE = 0.01
-#: letters of a word beyond ``COMMON_LENGTH`` count towards the ``CHUNK_EXCESS`` that closes a chunk: short words are common and select nothing
-COMMON_LENGTH, CHUNK_EXCESS = 7, 16
-#: sets with less excess than this are (also) chunked by plain bytes
-SHORT_SET, LONG_SET, SHORT_CHUNK = 96, 48, 8
-#: salts and odd multipliers that put a set's word hashes in different orders
-ORDERINGS = ((b"a", 1), (b"b", 0x9E3779B97F4A7C15), (b"c", 0xC2B2AE3D27D4EB4F))
-#: pairs that chunks of one run may propose inside the run; a batch with more is judged in several runs, in order
+#: pairs that rare words of one run may propose inside the run; a batch with more is judged in several runs, in order
 PAIR_BUDGET = 50_000_000
 
 _LINE_NUMBER = re.compile(r"^[ \t]*\d+:", re.M)
 _WORD = re.compile(r"\w+")
-_MASK = (1 << 64) - 1
-_CHUNKS = pa.list_(pa.struct([("t", pa.int64()), ("bytes", pa.int32())]))
-_CHUNKS_DDL = "array<struct<t: bigint, bytes: int>>"
+_CHUNKS = pa.list_(pa.int64())
 
 
 def snippet_words(snippet: str | None) -> set[str]:
@@ -51,51 +41,20 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _chunks(ordered: list[tuple[int, str]], salt: bytes, excess: bool) -> list[dict]:
-    """Chunks of one ordering: a boundary where the rolling hash does not end in two zero bits and the chunk is large enough."""
-    import xxhash
-
-    out, start, size, rolling = [], 0, 0, 0
-    for i, (h, word) in enumerate(ordered):
-        rolling = ((rolling << 1) ^ h) & _MASK
-        size += max(0, len(word) - COMMON_LENGTH) if excess else len(word)
-        # the lowest bits of the rolling hash depend on the last words alone, so boundaries come back after a change
-        if rolling & 3 and size >= (CHUNK_EXCESS if excess else SHORT_CHUNK):
-            out.append((start, i + 1))
-            start, size = i + 1, 0
-    if start < len(ordered) and (not out or size >= (CHUNK_EXCESS if excess else SHORT_CHUNK)):
-        out.append((start, len(ordered)))
-    return [
-        {"t": _signed(xxhash.xxh3_64_intdigest(salt + b"\0".join(w.encode("utf-8", "surrogatepass") for _, w in ordered[a:b]))), "bytes": sum(len(w) for _, w in ordered[a:b])}
-        for a, b in out
-    ]
-
-
 def snippet_features(snippet: str | None) -> dict | None:
-    """Word hashes and chunks of a snippet with at least MIN_WORDS words, else None."""
+    """The word set's name, words to compare and chunks to propose pairs by (64-bit names of single words), None with less than MIN_WORDS words."""
     import xxhash
 
-    words = snippet_words(snippet)
+    words = [w.encode("utf-8", "surrogatepass") for w in snippet_words(snippet)]
     if len(words) < MIN_WORDS:
         return None
-    hashed = [(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), w) for w in words]
-    excess = sum(max(0, len(w) - COMMON_LENGTH) for w in words)
-    chunks = []
-    # several orderings of the same words: a pair whose edits break every chunk of one keeps some of another
-    for salt, turn in ORDERINGS:
-        order = sorted(((h * turn) & _MASK, w) for h, w in hashed)
-        turned = [((h >> 32) ^ h, w) for h, w in order]
-        if excess >= LONG_SET:
-            chunks += _chunks(turned, salt, True)
-        if excess < SHORT_SET:
-            chunks += _chunks(turned, salt + b"s", False)
+    chunks = sorted(_signed(xxhash.xxh64_intdigest(w)) for w in words)
     # 32 bits a word are enough to compare two sets: of a hundred words two collide once in a million pairs
-    short = sorted({_signed(h) >> 32 for h, _ in hashed})
-    return {"cls": xxhash.xxh3_128_digest(b"\0".join(sorted(w.encode("utf-8", "surrogatepass") for w in words))), "words": short, "chunks": chunks, "total": len(ORDERINGS) * sum(map(len, words))}
+    return {"cls": xxhash.xxh3_128_digest(b"\0".join(sorted(words))), "words": sorted({c >> 32 for c in chunks}), "chunks": chunks}
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """The rows with cls (the 128-bit name of the word set, null for a short one), words, chunks and total.
+    """The rows with cls (the 128-bit name of the word set, null for a short one), words and chunks.
 
     Copies of one word set within a task and batch carry words and chunks once, with the first of them: a set that a
     third of all rows share leaves each task as one row of postings. The snippet itself, the last column, is dropped.
@@ -110,19 +69,37 @@ def with_features(rows: DataFrame) -> DataFrame:
                 found = snippet_features(snippet)
                 key = found and (no, found["cls"])
                 if found is None:
-                    out.append((None, None, None, None))
+                    out.append((None, None, None))
                 elif key in seen:
-                    out.append((found["cls"], None, None, None))
+                    out.append((found["cls"], None, None))
                 else:
                     if len(seen) < 1_000_000:  # beyond that copies only cost time
                         seen.add(key)
-                    out.append((found["cls"], found["words"], found["chunks"], found["total"]))
-            columns = list(zip(*out)) if out else [[]] * 4
-            types = (pa.binary(), pa.list_(pa.int32()), _CHUNKS, pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), t) for c, t in zip(columns, types))], names=[*keep, "cls", "words", "chunks", "total"])
+                    out.append((found["cls"], found["words"], found["chunks"]))
+            columns = list(zip(*out)) if out else [[]] * 3
+            types = (pa.binary(), pa.list_(pa.int32()), _CHUNKS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), t) for c, t in zip(columns, types))], names=[*keep, "cls", "words", "chunks"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(compute, f"{fields}, cls binary, words array<int>, chunks {_CHUNKS_DDL}, total int")
+    return rows.mapInArrow(compute, f"{fields}, cls binary, words array<int>, chunks array<bigint>")
+
+
+def word_frequencies(sets: DataFrame) -> DataFrame:
+    """t, n: how many of the sets (see ``with_features``) each word stands in."""
+    return sets.select(F.explode("chunks").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+
+def rarest_words(sets: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """id, chunks (t, pos, n): the words of each set that a set like it must share one of, by place in the order of frequency.
+
+    Any order finds every pair, if it is the same for all sets; rare words first propose the fewest. n is the size of the set.
+    """
+    words = sets.select("id", F.explode("chunks").alias("t")).join(frequencies, "t", "left")
+    ordered = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("f"), "t"))).alias("w"))
+    n = F.size("w")
+    first = F.slice("w", F.lit(1), n - F.ceil(MIN_SIMILARITY * n - 1e-6).cast("int") + 1)
+    return ordered.select("id", F.transform(first, lambda x, i: F.struct(x["t"].alias("t"), i.alias("pos"), n.alias("n"))).alias("chunks"))
+
 
 
 def _token(kind: str, value: Column) -> Column:
@@ -136,11 +113,11 @@ def _norm(name: str) -> Column:
 class AcceptedHistory:
     """Persistent tables of what was accepted, bucketed by their join keys so that a batch shuffles itself alone.
 
-    keys (k, rec): fingerprints and word-set names; postings (t, rec, bytes): chunks; sets (rec, words). The files lie in
+    keys (k, rec): fingerprints and word-set names; postings (t, rec, pos, n): rarest words; sets (rec, words). The files lie in
     the shared folder, the catalog entries carry ``name``.
     """
 
-    TABLES = {"keys": ("k binary, rec bigint", "k"), "postings": ("t bigint, rec bigint, bytes int", "t"), "sets": ("rec bigint, words array<int>", "rec")}
+    TABLES = {"keys": ("k binary, rec bigint", "k"), "postings": ("t bigint, rec bigint, pos int, n int", "t"), "sets": ("rec bigint, words array<int>", "rec")}
 
     def __init__(self, scratch: Scratch, name: str | None = None):
         self.spark, self.scratch = scratch.spark, scratch
@@ -169,12 +146,15 @@ class AcceptedHistory:
             self.spark.sql(f"drop table if exists {self.name}_{table}")
 
 
-def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: rows (rec, batch_no, keys, known) of each finding, and features (see ``with_features``).
+def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch, frequencies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: rows (rec, batch_no, keys, known) of each finding, and features (rec, batch_no, cls, words, chunks as ``rarest_words`` gives them).
 
     ``known``: a fingerprint that the findings index had first seen before the batch. Fingerprints compare without
     letter case and outer blanks, missing ones equal nothing; an unreadable first_seen is before no batch. Repeated
     rows count once; were a finding_no to come with several contents, the greatest counts.
+
+    The order of words must be one for all that is ever compared: a batch that comes later is prepared with the
+    ``frequencies`` that the history was (words not in it come first); without them those of ``scan`` itself count.
     """
     read = scan.where("finding_no is not null").select(
         F.col("finding_no").cast("long").alias("rec"),
@@ -184,8 +164,10 @@ def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch) -> tuple[Dat
         _token("f", _norm("fingerprint")).alias("f"),
         F.col("code_snippet").alias("snippet"),
     )
-    both = scratch.keep(with_features(read), "features")
-    features = both.where("words is not null").select("rec", "batch_no", "cls", "words", "chunks", "total")
+    both = scratch.keep(with_features(read).withColumn("id", F.monotonically_increasing_id()), "features")
+    sets = both.where("words is not null")
+    rare = rarest_words(sets, frequencies or word_frequencies(sets))
+    features = scratch.keep(sets.select("id", "rec", "batch_no", "cls", "words").join(rare, "id").drop("id"), "rarest")
     slim = both.groupBy("rec").agg(F.max(F.struct("batch_no", "at", "s", "f", "cls")).alias("v")).select("rec", "v.*")
     tokens = F.filter(F.array(_token("s", _norm("semantic_fingerprint")), _token("f", _norm("fingerprint"))), lambda t: t.isNotNull())
     first = findings.select(utc_time(F.col("first_seen")).alias("seen"), F.explode(tokens).alias("k")).where("seen is not null").groupBy("k").agg(F.min("seen").alias("seen"))
@@ -196,7 +178,7 @@ def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch) -> tuple[Dat
 
 
 def _postings(features: DataFrame) -> DataFrame:
-    return features.select("rec", F.explode("chunks").alias("c")).select("c.t", "rec", "c.bytes")
+    return features.select("rec", F.explode("chunks").alias("c")).select("c.t", "rec", "c.pos", "c.n")
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -206,16 +188,18 @@ def _members(rows: DataFrame) -> DataFrame:
 def like_pairs(features: DataFrame, history: AcceptedHistory) -> DataFrame:
     """k, other: word sets of a run that are alike, and (other null) those like an accepted record.
 
-    Chunks are joined once with the history's and once with the run's own; the bytes that a pair shares, summed over its
-    chunks, must cover MIN_COVERAGE, then the sets themselves are compared.
+    Rarest words are joined once with the history's and once with the run's own. A pair goes on where what is left of
+    both sets from a shared word on is enough; of two sets that are alike this holds at the first word they share.
     """
     posted = _postings(features)
-    old = history.table("postings").select("t", F.col("rec").alias("old"))
-    past = posted.join(old, "t").groupBy("rec", "old").agg(F.sum("bytes").alias("shared"))
-    inside = posted.join(posted.select("t", F.col("rec").alias("old")), "t").where("old < rec").groupBy("rec", "old").agg(F.sum("bytes").alias("shared"))
-    own = features.select("rec", F.col("cls").alias("k"), "words", "total")
+    mine = posted.select("t", F.col("rec").alias("old"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"))
+    old = history.table("postings").select("t", F.col("rec").alias("old"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"))
+    enough = F.least(F.col("n") - F.col("pos"), F.col("old_n") - F.col("old_pos")) * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (F.col("n") + F.col("old_n")) - 1e-6
+    past = posted.join(old, "t").where(enough).select("rec", "old").distinct()
+    inside = posted.join(mine, "t").where("old < rec").where(enough).select("rec", "old").distinct()
+    own = features.select("rec", F.col("cls").alias("k"), "words")
     shared = F.size(F.array_intersect("words", "old_words"))
-    alike = (F.col("shared") >= MIN_COVERAGE * F.col("total")) & (shared / (F.size("words") + F.size("old_words") - shared) >= MIN_SIMILARITY)
+    alike = shared / (F.size("words") + F.size("old_words") - shared) >= MIN_SIMILARITY
     old_sets = history.table("sets").select(F.col("rec").alias("old"), F.col("words").alias("old_words"))
     own_sets = features.select(F.col("rec").alias("old"), F.col("words").alias("old_words"), F.col("cls").alias("other"))
     like_old = past.join(own, "rec").join(old_sets, "old").where(alike).select("k", F.lit(None).cast("binary").alias("other"))
@@ -267,7 +251,7 @@ def runs_of(rows: DataFrame, features: DataFrame) -> list[tuple[int, int, int, i
     """(first batch, last batch, first rec, last rec) of the runs to judge, in order.
 
     The newest batch is a run of its own. The batches before it are loaded together as far as the pairs that their
-    common chunks propose stay within PAIR_BUDGET, and in parts, down to parts of a batch, beyond: what was accepted
+    common rare words propose stay within PAIR_BUDGET, and in parts, down to parts of a batch, beyond: what was accepted
     in a part keeps its repeats from pairing up in the next.
     """
     batches = [(r["batch_no"], r["a"], r["b"], r["n"]) for r in rows.groupBy("batch_no").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.count("*").alias("n")).orderBy("batch_no").collect()]
