@@ -95,6 +95,20 @@ def test_regions_merge_when_they_touch(spark):
     assert {(r.file_no, r.start_line, r.end_line) for r in duplicates.duplicate_regions(blocks).collect()} == {(1, 1, 12), (2, 1, 6), (2, 20, 25)}
 
 
+def test_near_pairs_count_lines_that_most_files_hold(spark):
+    import random
+
+    rng = random.Random(4)
+    # three lines stand in all of 230 files, a third of which are copies of one
+    sets = {i: {"h1", "h2", "h3"} | ({"c1", "c2"} if i % 3 == 0 else {f"{rng.randint(1, 40)}" for _ in range(rng.choice([0, 2, 4, 9, 14]))}) for i in range(230)}
+    rows = [(i, n, t.upper()) for i, s in sets.items() for n, t in enumerate(sorted(s))]
+    table = spark.createDataFrame(rows + rows[:50] + [(None, 1, "H1"), (500, 1, None)], "file_no bigint, line_no int, token_hash string")
+    want = {(a, b, n, round(n / min(len(sets[a]), len(sets[b])), 6)) for a in sets for b in sets if a < b for n in [len(sets[a] & sets[b])] if round(n / min(len(sets[a]), len(sets[b])), 6) >= 0.3}
+    got = [tuple(r) for r in duplicates.near_file_pairs(table).select("a", "b", "shared", "overlap").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert duplicates.near_file_pairs(table.limit(0)).count() == 0
+
+
 def test_reached_files_end_on_circles(spark):
     rows = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "z")]
     deps = spark.createDataFrame(rows, "file string, depends_on string")

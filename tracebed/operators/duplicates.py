@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracebed.session import Scratch
+
 # fixed values: lines of a window, and the furthest its first and last line may lie apart
 WINDOW, SPREAD = 6, 18
 
@@ -48,16 +50,39 @@ def duplicate_regions(blocks: DataFrame) -> DataFrame:
     return numbered.groupBy("file_no", "region").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("region")
 
 
-def near_file_pairs(lines: DataFrame, least: float = 0.3, hot: int = 200) -> DataFrame:
-    """a, b, shared, overlap of files that share lines: shared lines over those of the smaller file.
+def near_file_pairs(lines: DataFrame, least: float = 0.3) -> DataFrame:
+    """a, b, shared, overlap of files that share lines: shared lines over those of the smaller file, every line counting.
 
-    Lines that more than ``hot`` files hold are boilerplate by definition of this operator and are no evidence, which also bounds
-    the pairs a line can make.
+    Files with equal sets of lines are one class, compared once and written out as pairs at the end. Lines stand in one
+    order, rare ones first: to share ``least`` of its n lines a class must share one of its first n - ceil(least * n) + 1,
+    so only these are joined with the lines of the larger classes; overlaps are then counted exactly.
     """
-    tokens = code_lines(lines).select("file_no", "token").distinct()
-    sizes = tokens.groupBy("file_no").agg(F.count("*").alias("n"))
-    rare = tokens.groupBy("token").agg(F.count("*").alias("files")).where(F.col("files").between(2, hot)).select("token")
-    kept = tokens.join(rare, "token", "left_semi")
-    pairs = kept.select("token", F.col("file_no").alias("a")).join(kept.select("token", F.col("file_no").alias("b")), "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    both = pairs.join(sizes.select(F.col("file_no").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("file_no").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", "shared", F.round(F.col("shared") / F.least("na", "nb"), 6).alias("overlap")).where(F.col("overlap") >= least)
+    scratch = Scratch(lines.sparkSession, "near")
+    files = code_lines(lines).where("file_no is not null").groupBy("file_no").agg(F.array_sort(F.collect_set("token")).alias("w"))
+    files = scratch.keep(files.withColumn("name", F.sha2(F.array_join("w", "|"), 256)), "files")
+    classes = files.groupBy("name").agg(F.min("file_no").alias("rep"), F.min_by("w", "file_no").alias("w"), F.count("*").alias("files"))
+    classes = scratch.keep(classes, "classes")
+    members = files.select("file_no", "name").join(classes.select("name", "rep"), "name").select("rep", "file_no")
+    each = classes.select("rep", F.explode("w").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("f"))
+    ordered = each.join(counts, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("w"))
+    posted = ordered.select("rep", F.size("w").alias("n"), F.posexplode("w").alias("pos", "t")).where("t.f > 1").select(F.col("t.token").alias("token"), "rep", "n", "pos")
+    posted = scratch.keep(posted, "postings")
+    # overlaps are rounded to six places before they are compared
+    enough = lambda n: F.ceil((least - 5e-7) * n - 1e-9)
+    small = posted.where(F.col("pos") <= F.col("n") - enough(F.col("n"))).select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    large = posted.select("token", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    proposed = (
+        small.join(large, "token")
+        .where(F.struct("nx", "x") < F.struct(F.col("ny").alias("nx"), F.col("y").alias("x")))
+        .where(F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= enough(F.col("nx")))
+        .select("x", "y")
+        .distinct()
+    )
+    sets = classes.select("rep", "w")
+    both = proposed.join(sets.select(F.col("rep").alias("x"), F.col("w").alias("wx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("w").alias("wy")), "y")
+    counted = both.select("x", "y", F.size(F.array_intersect("wx", "wy")).cast("long").alias("shared"), F.size("wx").alias("n"))
+    same = classes.where("files > 1").select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.size("w").cast("long").alias("shared"), F.size("w").alias("n"))
+    alike = counted.unionByName(same).select("x", "y", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("overlap")).where(F.col("overlap") >= least)
+    pairs = alike.join(members.select(F.col("rep").alias("x"), F.col("file_no").alias("f")), "x").join(members.select(F.col("rep").alias("y"), F.col("file_no").alias("g")), "y")
+    return pairs.where("x <> y or f < g").select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"), "shared", "overlap")
