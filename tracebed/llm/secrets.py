@@ -53,6 +53,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}
 _DIGEST = re.compile(r"(?:sha\d+|md5)[-:]", re.I)
 _ANNOUNCED = re.compile(rf"(?:(?<![a-z])(?:{_ANNOUNCE})|password|passwd|passphrase|pwd|secret|token|api[-_. ]?key)(?![a-z])", re.I)
 _HARMLESS_NAME = re.compile(rf"(?:^|[-_. ])(?:{_HARMLESS})s?$", re.I)
+_HARMLESS_BEFORE = re.compile(rf"(?:{_HARMLESS})\s*[:=(]*\s*[\"'`]?\s*$", re.I)
 _STANDS_FOR = re.compile(_PLACEHOLDER, re.I)
 _REFERENCE = re.compile(r"^\$\{?\w+\}?$|\$\{|\{\{|\$\(|^%\w+%$|^<.*>$|^\[.*\]$|process\.env|environ|getenv|^env[:.]|secretRef|valueFrom|^@\w+$|^ref\+|://[^@]*$")
 _HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:/.*)?")
@@ -77,13 +78,20 @@ _PLACES = [
     re.compile(r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).){6,}?)(?P=q)"),
     re.compile(r"(?<![\w+/=.$-])(?P<v>[A-Za-z0-9+/_-][A-Za-z0-9+/_.-]{14,}={0,2})(?![\w+/-])"),
 ]
-# fixed values: stems in lower case without one of which, or a long token, a line can't hold a credential
+# fixed values: stems in lower case, and the beginnings of issuers' keys, without one of which only a long run can be a credential
 _STEMS = (
-    "pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "basic", "jwt", "session", "cookie", "identified", "login", "sign", "kennwort", "contrase",
-    "clave", "mot de", "mot_de", "mot-de", "senha", "hasło", "пароль", "wacht", "parola", "şifre", "密码", "パスワード", "-----", "://", " -u ", "pw"
+    "pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "basic", "jwt", "session", "cookie", "identified", "login", "log_in", "sign", "kennwort", "contrase",
+    "clave", "mot de", "mot_de", "mot-de", "senha", "hasło", "пароль", "wacht", "parola", "şifre", "密码", "パスワード", "-----", "://", "pw"
 )
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{15,}")
-_MIXED = re.compile(r"\d[A-Za-z+/=]")
+_ISSUERS = (
+    "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "rk_test_",
+    "xoxa-", "xoxb-", "xoxe-", "xoxp-", "xoxr-", "xoxs-", "npm_", "AIza", "eyJ", "SG.", "pypi-", "dop_v1_"
+)
+#: what a value that nothing announces must lie in: a run with a digit, bare or after a quote or a tag
+_LONG = re.compile(r"[^\s\"'`;,&|()<>\[\]{}]{%d,}|[\"'`>]\S{%d,}" % (STRICT_LENGTH, STRICT_LENGTH))
+_QUOTE_FIRST = re.compile(r"\s*[+.]?\s*[\"']")
+#: letters that a pattern takes for others when case is ignored, though they have another small letter
+_FOLDED = str.maketrans({"İ": "i", "ı": "i", "ſ": "s", "ᲂ": "о"})
 _DIGIT = re.compile(r"\d")
 
 
@@ -128,6 +136,7 @@ def _classes(value: str) -> int:
     return sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
 
 
+@lru_cache(maxsize=1 << 16)
 def is_credential(value: str, announced: bool, password_place: bool = False) -> bool:
     """Whether a value, in a place that announces a credential or not, is one."""
     if len(value) < (LENIENT_LENGTH if announced or password_place else STRICT_LENGTH - 5):
@@ -168,7 +177,7 @@ def _announced(line: str, at: int, end: int, name: str | None) -> bool | None:
             return True
     rest = _CAMEL.sub(" ", f"{line[max(0, at - CONTEXT) : at]} \0 {line[end : end + CONTEXT]}").replace("_", " ")
     before = rest.split("\0")[0]
-    if re.search(rf"(?:{_HARMLESS})\s*[:=(]*\s*[\"'`]?\s*$", before, re.I):
+    if _HARMLESS_BEFORE.search(before):
         return None
     return bool(_ANNOUNCED.search(rest))
 
@@ -220,10 +229,11 @@ def line_spans(line: str) -> list[tuple[int, int]]:
             if k < 3 or k == 5:
                 ok = is_credential(value, True, True)
             else:
-                said = _announced(line, a, b, name)
-                if said is None:
+                # what surrounds it is read only where it can decide
+                if len(value) < LENIENT_LENGTH or not (is_credential(value, False) or is_credential(value, True)):
                     continue
-                ok = is_credential(value, said)
+                said = _announced(line, a, b, name)
+                ok = said is not None and is_credential(value, said)
             if ok:
                 add(a, b)
     return sorted(spans)
@@ -234,22 +244,37 @@ def _stems():
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for stem in _STEMS:
-        found.add_word(stem, None)
+    for stem in (*_STEMS, "-u"):
+        found.add_word(stem, stem)
+    for prefix in _ISSUERS:
+        found.add_word(prefix.lower(), prefix)
     found.make_automaton()
     return found
 
 
+def _counts(text: str, end: int, stem: str) -> bool:
+    """Whether a stem that ends here is one: issuers' beginnings in their own spelling, -u as a word."""
+    if stem == "-u":
+        return (end < 2 or text[end - 2].isspace()) and text[end + 1 : end + 2].isspace()
+    return stem not in _ISSUERS or text.startswith(stem, end + 1 - len(stem))
+
+
 def worth_reading(lines: list[str | None]) -> set[int]:
-    """Numbers (0-based) of the lines that can hold a credential: one pass over the whole text finds them."""
+    """Numbers (0-based) of all lines that can hold a credential, by themselves or with the next: one pass over the whole text and one over the lines' beginnings."""
     text = "\n".join(x or "" for x in lines)
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer: offsets would shift
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    at = [end for end, _ in _stems().iter(low)]
-    at += [m.start() for m in _LONG.finditer(text) if _MIXED.search(m[0])]
+    low = (text if text.isascii() else text.translate(_FOLDED)).lower()
+    at = [end for end, stem in _stems().iter(low) if _counts(text, end, stem)]
+    at += [m.start() for m in _LONG.finditer(text) if _DIGIT.search(m[0])]
     starts = list(accumulate((len(x or "") + 1 for x in lines), initial=0))
-    return {bisect_right(starts, i) - 1 for i in at}
+    worth = {bisect_right(starts, i) - 1 for i in at}
+    for i, line in enumerate(lines):
+        if not line:
+            continue
+        if "+" in line and _JOINED.search(line) or line.lstrip().startswith(("ENV", "ARG")):
+            worth.add(i)
+        if i and i - 1 not in worth and lines[i - 1] and _QUOTE_FIRST.match(line) and _ONLY_STRING.match(line) and _OPEN_STRING.search(lines[i - 1]):
+            worth.add(i - 1)
+    return worth
 
 
 def text_spans(lines: list[str | None]) -> dict[int, list[tuple[int, int]]]:
