@@ -62,3 +62,12 @@ def test_empty_and_repeated(spark, corpus):
     assert damaged_documents(table(spark, [])).count() == 0
     bad = (1, "Está vacía".encode().decode("cp1252") + " configuraciÃ³n despuÃ©s")
     assert [r.doc_id for r in damaged_documents(table(spark, corpus[12:] + [(100 + i, t) for i, t in corpus] + [bad, bad])).collect()] == [1]
+
+
+def test_copies_of_a_damaged_text_are_a_third_of_all_rows(spark):
+    # 200 different texts; the true words stand in a few of them
+    clean = [(i, f"La configuración número {i} no cambia." if i < 4 else f"Plain text number w{i} stands here.") for i in range(200)]
+    bad = [(1000 + i, "La configuraciÃ³n no cambia.") for i in range(100)] + [(2000, "Otra configuraciÃ³n.")]
+    assert {r.doc_id for r in damaged_documents(table(spark, clean + bad)).collect()} == {i for i, _ in bad}
+    restored = {r.doc_id: r.restored for r in restored_documents(table(spark, clean + bad)).collect()}
+    assert restored[1000] == "La configuración no cambia." and restored[2000] == "Otra configuración."

@@ -172,9 +172,10 @@ def pieces_of(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: documents each word occurs in, over all documents and whole texts."""
+    """word, n, m: documents and different texts each word occurs in, over all documents and whole texts."""
+    texts = docs.where("text is not null").groupBy(F.sha2("text", 256).alias("name")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    return docs.where("text is not null").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return texts.select(F.explode(words).alias("word"), "copies").groupBy("word").agg(F.sum("copies").alias("n"), F.count("*").alias("m"))
 
 
 def _with_readings(pieces: DataFrame) -> DataFrame:
@@ -190,24 +191,27 @@ def _with_readings(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(read, "piece string, pair string, reading string, words array<string>")
 
 
-def odd_pieces(pieces: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+def odd_pieces(pieces: DataFrame, counts: DataFrame, n_docs: int, n_texts: int) -> DataFrame:
     """piece, options (pair, gain, reading): pieces that read better some other way, by the corpus' word frequencies.
 
     The log-probability of a reading is the sum over its words; gain is what it wins over the piece as it stands.
+    Against a reading that forms UTF-8 the piece as it stands has one voice for each different text at most: a damaged text
+    would else vote for its own garbage with every copy.
     """
+    odds = lambda c, of: F.sum(F.when(F.col(c).isNull(), F.log(F.lit(UNSEEN / of)) - F.length("word") + 1).otherwise(F.log(F.col(c) / of)))
     distinct = pieces.select("piece").distinct()
     read = _with_readings(distinct)
     scored = (
         read.select("piece", "pair", "reading", F.explode_outer("words").alias("word"))
         .join(counts, "word", "left")
         .groupBy("piece", "pair", "reading")
-        .agg(F.sum(F.when(F.col("n").isNull(), F.log(F.lit(UNSEEN / n_docs)) - F.length("word") + 1).otherwise(F.log(F.col("n") / n_docs))).alias("p"), F.count_if(F.col("n").isNull() & F.col("word").isNotNull()).alias("unseen"))
+        .agg(odds("n", n_docs).alias("p"), odds("m", n_texts).alias("q"), F.count_if(F.col("n").isNull() & F.col("word").isNotNull()).alias("unseen"))
     )
-    own = scored.where("pair = ''").select("piece", F.col("p").alias("own"))
+    own = scored.where("pair = ''").select("piece", F.col("p").alias("own"), F.least("p", "q").alias("own_once"))
     gain = F.col("p") - F.col("own")
     # that bytes form UTF-8 at all is evidence by itself, for every character they form
     formed = F.length(F.regexp_replace("reading", r"[\x00-\x7F]", ""))
-    gain = F.when(F.endswith("pair", F.lit(">utf-8")), gain + UTF8_GAIN * formed).otherwise(gain)
+    gain = F.when(F.endswith("pair", F.lit(">utf-8")), F.col("p") - F.col("own_once") + UTF8_GAIN * formed).otherwise(gain)
     # a single sign for another says little, whatever it would win
     gain = F.when(F.length("piece") < 2, F.least(gain, F.lit(3.0))).otherwise(gain)
     # a reading between two single-byte encodings always exists: only one made of words the corpus holds says anything
@@ -264,8 +268,8 @@ def damaged_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     pieces = scratch.keep(pieces_of(docs).distinct(), "pieces")
     counts = scratch.keep(word_counts(docs), "counts")
-    n_docs = docs.count()
-    odd = odd_pieces(pieces, counts, max(n_docs, 1))
+    n_docs, n_texts = docs.agg(F.count("*"), F.count_distinct(F.sha2("text", 256))).first()
+    odd = odd_pieces(pieces, counts, max(n_docs, 1), max(n_texts, 1))
     places = pieces.join(odd, "piece").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "options"))).alias("places"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
