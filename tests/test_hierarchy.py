@@ -36,7 +36,7 @@ def brute(rows):
                 below[y] += 1
         else:
             out[f] = ("", -1 if x == f else -2)
-    return {f: (r, d, below[f] if d >= 0 else d) for f, (r, d) in out.items()}
+    return {f: (r, d, below[f] if d >= 0 else -1) for f, (r, d) in out.items()}
 
 
 def solved(spark, rows, every=16):

@@ -11,41 +11,50 @@ descendants are ever gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracebed.functions.text import plain_path
 from tracebed.session import Scratch
 
 
+#: rows of one file of a round's table: late rounds are small, and a file costs a task in every later round
+PART = 200_000
+
+
 def _jump(scratch: Scratch, start: DataFrame, lists: list[str], sums: list[str], name: str) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """Pointer doubling over (id, nxt, stop, ...) until every row stops or is known to go round for ever.
 
     ``stop`` says that ``nxt`` is a place to stop at. Columns in ``sums`` add up along the way, those in ``lists``
-    concatenate. Returns the last table, the ids that lie on a cycle (None where every row stopped) and the
-    tables of all rounds, in which unstopped rows have made exactly 2**round steps.
+    concatenate. Returns all stopped rows, the ids that lie on a cycle (None where every row stopped) and for each round
+    the rows that had not stopped, which have made exactly 2**round steps. A row is written once, when it stops, and
+    else only while it still moves.
 
     Going round is proved, not guessed: when a round stops no further row, none is left that could, because a walk
     of length L over 2**(j-1) always has a row with its stop between 2**(j-1) and 2**j steps; and when the places
     that the rest stand on have become no fewer, a jump permutes them, so they are the cycles.
     """
-    now, left, places, rounds = start, None, None, [start]
-    while True:
-        count = now.where("not stop").agg(F.count("*").alias("n"), F.countDistinct("nxt").alias("p")).first()
-        if count["n"] == 0:
-            return now, None, rounds
-        if (count["n"], count["p"]) == (left, places):
-            return now, now.where("not stop").select(F.col("nxt").alias("id")).distinct(), rounds
-        left, places = count["n"], count["p"]
-        ahead = now.select(F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("stop").alias("stop2"), *(F.col(c).alias(f"{c}2") for c in lists + sums))
-        moved = now.where("not stop").join(ahead, "nxt").select(
+    done, live, rounds = start.where("stop"), start.where("not stop"), []
+    left = live.count()
+    while left:
+        rounds.append(live)
+        ahead = done.unionByName(live).select(F.col("id").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("stop").alias("stop2"), *(F.col(c).alias(f"{c}2") for c in lists + sums))
+        moved = live.join(ahead, "nxt").select(
             "id",
             F.col("nxt2").alias("nxt"),
             F.col("stop2").alias("stop"),
             *((F.concat(c, f"{c}2") if c in lists else F.col(c) + F.col(f"{c}2")).alias(c) for c in lists + sums),
         )
-        now = scratch.keep(now.where("stop").select(moved.columns).unionByName(moved), f"{name}-{len(rounds)}")
-        rounds.append(now)
+        seen = Observation()
+        moved = moved.repartition(-(-left // PART)).observe(seen, F.count_if(~F.col("stop")).alias("n"))
+        moved = scratch.keep(moved, f"{name}-{len(rounds)}")
+        before, left, live = left, seen.get["n"], moved.where("not stop")
+        done = done.unionByName(moved.where("stop").select(done.columns))
+        if left and left == before:
+            places = [t.select("nxt").distinct().count() for t in (rounds[-1], live)]
+            if places[0] == places[1]:
+                return done, live.select(F.col("nxt").alias("id")).distinct(), rounds
+    return done, None, rounds
 
 
 def solve_forest(nodes: DataFrame, scratch: Scratch, splitter_every: int = 16, with_paths: bool = False) -> DataFrame:
@@ -53,7 +62,7 @@ def solve_forest(nodes: DataFrame, scratch: Scratch, splitter_every: int = 16, w
 
     ``nodes`` has id BIGINT (unique), parent BIGINT (null for a root, else an id of the table) and splitter_hash
     BIGINT; other columns are ignored. Returns id, root, depth, n_descendants: on a circle root is null and both
-    numbers -1, leading into one null and -2. With ``with_paths`` also path, the ids from the node to its root, both
+    numbers -1, leading into one null, -2 and -1. With ``with_paths`` also path, the ids from the node to its root, both
     included (null off the forest); its total size is the sum of depths, which the answer itself has.
     """
     nodes = nodes.select("id", "parent", (F.pmod("splitter_hash", F.lit(splitter_every)) == 0).alias("split"))
@@ -65,13 +74,13 @@ def solve_forest(nodes: DataFrame, scratch: Scratch, splitter_every: int = 16, w
         .select("id", "nxt", "stop", F.lit(1).alias("steps"), F.array("nxt").alias("hops"))
     )
     walked, circles, _ = _jump(scratch, scratch.keep(first, "walk-0"), ["hops"], ["steps"], "walk")
+    walked = scratch.keep(walked, "walked")
 
     # the reduced graph: splitters that aren't roots, pointing at the next splitter or root
     kind = nodes.select("id", "split", F.col("parent").isNull().alias("is_root"))
-    passed = walked.where("stop").groupBy("nxt").agg(F.count("*").alias("n"))
+    passed = walked.groupBy("nxt").agg(F.count("*").alias("n"))
     reduced_first = (
         walked.join(kind.where("split and not is_root").select("id"), "id", "left_semi")
-        .where("stop")
         .join(kind.select(F.col("id").alias("nxt"), F.col("is_root").alias("at_root")), "nxt")
         .join(passed.select(F.col("nxt").alias("id"), "n"), "id", "left")
         .select("id", "nxt", F.col("at_root").alias("stop"), F.col("steps").cast("long").alias("depth"), "hops", F.coalesce("n", F.lit(0)).alias("n"))
@@ -83,13 +92,11 @@ def solve_forest(nodes: DataFrame, scratch: Scratch, splitter_every: int = 16, w
 
     # subtree sums of the reduced forest: after round j a sum covers all splitters less than 2**j steps below
     sums = reduced_first.select("id", "n")
-    for table in rounds if rounds[0].take(1) else []:
-        below = table.where("not stop").join(sums, "id").groupBy(F.col("nxt").alias("id")).agg(F.sum("n").alias("more"))
+    for table in rounds:
+        below = table.join(sums, "id").groupBy(F.col("nxt").alias("id")).agg(F.sum("n").alias("more"))
         sums = scratch.keep(sums.join(below, "id", "left").select("id", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "sums")
-        if reduced_circles is not None and table is rounds[-1]:
-            break
 
-    solved = reduced.where("stop").select("id", F.col("nxt").alias("root"), "depth", *(F.col(c).alias("upper") for c in lists))
+    solved = reduced.select("id", F.col("nxt").alias("root"), "depth", *(F.col(c).alias("upper") for c in lists))
     stop_kind = kind.where("split or is_root").select(F.col("id").alias("nxt"), F.col("is_root").alias("at_root"))
     # one row per stop: what a walk that ends there goes on with
     onward = stop_kind.join(solved.withColumnRenamed("id", "nxt"), "nxt", "left").select(
@@ -98,12 +105,12 @@ def solve_forest(nodes: DataFrame, scratch: Scratch, splitter_every: int = 16, w
         F.when(F.col("at_root"), F.lit(0).cast("long")).otherwise(F.col("depth")).alias("above"),
         *(F.coalesce(F.col("upper"), F.array().cast("array<bigint>")).alias("upper") for _ in lists),
     )
-    placed = walked.where("stop").join(onward, "nxt").select(
+    placed = walked.join(onward, "nxt").select(
         "id", "root", (F.col("steps") + F.col("above")).alias("depth"), *(F.concat(F.array("id"), "hops", "upper").alias("path") for _ in lists)
     )
 
     # descendants: inside a walk each node passes itself and, at a splitter, all that hangs below it
-    weights = walked.where("stop").join(sums, "id", "left").select("hops", (F.lit(1) + F.coalesce("n", F.lit(0))).alias("w"))
+    weights = walked.join(sums, "id", "left").select("hops", (F.lit(1) + F.coalesce("n", F.lit(0))).alias("w"))
     inner = weights.select(F.explode(F.slice("hops", F.lit(1), F.size("hops") - 1)).alias("id"), "w").groupBy("id").agg(F.sum("w").alias("n"))
     whole = placed.where("root is not null").groupBy(F.col("root").alias("id")).agg(F.count("*").alias("n"))
     below = inner.unionByName(sums).unionByName(whole)
@@ -122,7 +129,7 @@ def solve_forest(nodes: DataFrame, scratch: Scratch, splitter_every: int = 16, w
     if circle_ids is None:
         return out.select("id", "root", F.col("depth").cast("int"), F.coalesce("n_descendants", F.lit(0)).cast("int").alias("n_descendants"), *(["path"] if with_paths else []))
     lost = rest.join(circle_ids.withColumn("on_circle", F.lit(True)), "id", "left").select(
-        "id", F.lit(None).cast("long").alias("root"), F.when(F.col("on_circle"), -1).otherwise(-2).cast("long").alias("depth"), F.when(F.col("on_circle"), -1).otherwise(-2).cast("long").alias("n_descendants"), *(F.lit(None).cast("array<bigint>").alias("path") for _ in lists)
+        "id", F.lit(None).cast("long").alias("root"), F.when(F.col("on_circle"), -1).otherwise(-2).cast("long").alias("depth"), F.lit(-1).cast("long").alias("n_descendants"), *(F.lit(None).cast("array<bigint>").alias("path") for _ in lists)
     )
     found = out.where("root is not null").unionByName(lost)
     return found.select("id", "root", F.col("depth").cast("int"), F.coalesce("n_descendants", F.lit(0)).cast("int").alias("n_descendants"), *(["path"] if with_paths else []))
@@ -152,7 +159,7 @@ def dependency_nodes(dependencies: DataFrame, scratch: Scratch) -> DataFrame:
 def dependency_hierarchy(dependencies: DataFrame, with_paths: bool = False, splitter_every: int = 16) -> DataFrame:
     """file, root, depth, n_descendants of each file (and path, the files up to the root, with ``with_paths``).
 
-    Off the forest root is '' and both numbers -1 (on a circle) or -2 (leading into one). An empty table gives no
+    Off the forest root is '', n_descendants -1 and depth -1 (on a circle) or -2 (leading into one). An empty table gives no
     rows; other columns, whatever their names, are ignored.
     """
     scratch = Scratch(dependencies.sparkSession, "hierarchy")

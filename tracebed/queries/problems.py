@@ -49,12 +49,15 @@ create_rows as (
   select names.file, latest.depends_on as parent from names left join latest using (file)
 )"""
 
+# a walk ends before a file it has been at, so circles need no bound on depth
 _WALK = """, walk(file, node, depth, path) as (
-  select file, file, 0, file from up
+  select file, file, 0, [file] from up
   union all
-  select w.file, u.parent, w.depth + 1, w.path || ' > ' || u.parent from walk w join up u on w.node = u.file where u.parent is not null and w.depth < 400
+  select w.file, u.parent, w.depth + 1, list_append(w.path, u.parent) from walk w join up u on w.node = u.file where u.parent is not null and not list_contains(w.path, u.parent)
 ), ended as (
-  select w.file, w.node as root, w.depth, w.path from walk w join up u on w.node = u.file where u.parent is null
+  select w.file, w.node as root, w.depth, array_to_string(w.path, ' > ') path from walk w join up u on w.node = u.file where u.parent is null
+), circle as (
+  select distinct w.file from walk w join up u on w.node = u.file where u.parent = w.file
 )"""
 
 ORACLE = {
@@ -83,15 +86,13 @@ from pairs where ha is null or hb is null or ha <> hb""",
     "p4_found": f"""
 with recursive {_CLEAN_PATH}{_WALK}, below as (
   select node as file, count(*) n from walk where depth > 0 group by node
-), circle as (
-  select distinct file from walk where depth > 0 and node = file
 )
 select u.file, coalesce(e.root, '') root,
   cast(case when e.file is not null then e.depth when c.file is not null then -1 else -2 end as integer) depth,
-  cast(case when e.file is not null then coalesce(b.n, 0) when c.file is not null then -1 else -2 end as integer) n_descendants
+  cast(case when e.file is not null then coalesce(b.n, 0) else -1 end as integer) n_descendants
 from up u left join ended e using (file) left join below b using (file) left join circle c using (file)""",
     "p4_paths": f"""
-with recursive {_CLEAN_PATH}{_WALK}, circle as (select distinct file from walk where depth > 0 and node = file)
+with recursive {_CLEAN_PATH}{_WALK}
 select u.file, coalesce(e.root, '') root, cast(case when e.file is not null then e.depth when c.file is not null then -1 else -2 end as integer) depth, e.path
 from up u left join ended e using (file) left join circle c using (file)""",
     "p4_dependents": f"""
