@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tracebed.llm import batches
-from tracebed.llm.batches import AcceptedHistory, judge_run, prepare, repeated_findings, runs_of, snippet_words
+from tracebed.llm.batches import AcceptedHistory, judge_batch, prepare, repeated_findings, snippet_features, snippet_words
 from tracebed.session import Scratch
 
 SCAN = "finding_no bigint, batch_no int, batch_at timestamp_ntz, fingerprint string, semantic_fingerprint string, code_snippet string, rec string"
@@ -97,22 +97,55 @@ def test_hot_group_of_copies_and_near_copies(spark):
     assert found(spark, scan) == brute(scan)
 
 
-def test_later_batch_alone_and_split_runs_give_the_same(spark, monkeypatch):
+def test_a_later_session_opens_the_history_and_judges_one_more_batch(spark, tmp_path):
     rng = random.Random(9)
     codes = snippets(rng, 90)
     scan = [(i + 1, 1 + i // 30, f"f{rng.randint(0, 70)}", None, codes[i]) for i in range(90)]
-    want = brute(scan)
-    monkeypatch.setattr(batches, "PAIR_BUDGET", 40)
+    early, late = tables(spark, scan[:60]), tables(spark, scan[60:])
+    repeats = {r.finding_no for r in repeated_findings(*early, path=str(tmp_path / "h")).collect()}
+    history = AcceptedHistory.open(spark, str(tmp_path / "h"))
+    assert len(history.runs) == 2
+    # what a run that died has left behind is never read
+    history.append(spark.createDataFrame([(b"x", 61)], "k binary, rec bigint"), "keys", 5)
     scratch = Scratch(spark, "t")
-    rows, features = prepare(*tables(spark, scan), scratch)
-    runs = runs_of(rows, features)
-    assert len(runs) > 3
-    history = AcceptedHistory(scratch)
-    for run in runs:
-        judge_run(rows, features, run, history, scratch)
+    rows, features, _ = prepare(*late, scratch, history.order)
+    judge_batch(rows, features, 3, history, scratch)
     accepted = {r.rec for r in history.accepted().collect()}
-    history.drop()
-    assert {r[0] for r in scan} - accepted == want
+    history.close()
+    assert {r[0] for r in scan} - accepted == brute(scan) and repeats == {n for n in brute(scan) if n <= 60}
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    codes = snippets(random.Random(2), 60)
+    repeated_findings(*tables(spark, [(i + 1, 1, None, None, c) for i, c in enumerate(codes)]), path=str(tmp_path / "h")).count()
+    history = AcceptedHistory.open(spark, str(tmp_path / "h"))
+    scratch = Scratch(spark, "t")
+    _, features, _ = prepare(*tables(spark, [(99, 2, None, None, codes[0])]), scratch, history.order)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (batches.covered(features, history), batches.uncovered_like(features, history)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.splitlines() if "FileScan parquet" in x and history.name in x]
+            assert len(joins) == 2 and all("Bucketed: true" in x for x in joins)
+            assert [r.cls for r in found.collect()] == [snippet_features(codes[0])["cls"]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        history.close()
+
+
+def test_coverage_decides_most_like_pairs_whose_words_keep_their_order():
+    rng = random.Random(1)
+    like = decided = 0
+    for _ in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(12, 200))]
+        near = [w if rng.random() > 0.08 else f"v{rng.randrange(10**6)}" for w in base]
+        a, b = snippet_words(" ".join(base)), snippet_words(" ".join(near))
+        if a != b and len(a & b) / len(a | b) >= 0.7:
+            x, y = (set(snippet_features(" ".join(t))["chunks"]) for t in (base, near))
+            size = lambda c: sum(v & 0xFFFF for v in c)
+            like, decided = like + 1, decided + (size(x & y) >= batches.MIN_COVERAGE * max(size(x), size(y)))
+    assert like > 300 and decided / like >= 0.85
 
 
 def test_empty_tables(spark):
@@ -121,36 +154,23 @@ def test_empty_tables(spark):
 
 
 @pytest.mark.parametrize("n", [10, 30, 200])
-def test_short_words_have_chunks_too(n):
-    made = batches.snippet_features(" ".join(f"w{i}" for i in range(n)))
-    assert len(made["words"]) == n and made["chunks"]
+def test_leading_tokens(n):
+    made = snippet_features(" ".join(f"w{i}" for i in range(n)))
+    assert len(made["words"]) == n and len(batches.leading_words(made["words"])) == n - -(-7 * n // 10) + 1
+    size = lambda c: sum(v & 0xFFFF for v in c)
+    first = batches.leading_chunks(made["chunks"])
+    rest = made["chunks"][len(first) :]
+    assert 2 * size(rest) < size(made["chunks"]) <= 2 * size(rest + first[-1:])
 
 
 def test_long_sets_of_short_words_with_few_long_ones(spark):
-    # like pairs of such sets shared no chunk in most cases when chunks were closed by letters of long words alone
+    # in another order of words no chunk is shared: the rarest words find these
     rng = random.Random(3)
     scan = []
     for _ in range(20):
         base = [f"v{rng.randrange(10**5)}" for _ in range(200)] + [f"announce_{rng.randrange(10**6):06d}" for _ in range(12)]
         near = [w if rng.random() < 0.86 else f"u{rng.randrange(10**5)}" for w in base]
+        near = rng.sample(near, len(near)) if len(scan) % 4 else near
         scan += [(len(scan) + i + 1, 1 + i, None, None, " ".join(w)) for i, w in enumerate((base, near))]
     want = brute(scan)
     assert len(want) >= 10 and found(spark, scan) == want
-
-
-def test_a_batch_prepared_later_in_the_order_of_the_history(spark):
-    rng = random.Random(21)
-    codes = snippets(rng, 80)
-    scan = [(i + 1, 1 + i // 60, None, None, codes[i]) for i in range(80)]
-    scratch = Scratch(spark, "t")
-    history = AcceptedHistory(scratch)
-    first, findings = tables(spark, scan[:60])
-    sets = batches.with_features(first.select("finding_no", "batch_no", "code_snippet")).where("chunks is not null")
-    order = scratch.keep(batches.word_frequencies(sets))
-    for part in (first, tables(spark, scan[60:])[0]):
-        rows, features = prepare(part, findings, scratch, order)
-        for run in runs_of(rows, features):
-            judge_run(rows, features, run, history, scratch)
-    accepted = {r.rec for r in history.accepted().collect()}
-    history.drop()
-    assert {r[0] for r in scan} - accepted == brute(scan)

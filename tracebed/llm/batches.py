@@ -1,10 +1,11 @@
-"""Judging new batches of findings against all that was accepted before, by the rarest words of each set.
-
-Two word sets with a similarity of MIN_SIMILARITY share one of their rarest words at least: put all words in one order,
-and the first ``n - ceil(MIN_SIMILARITY * n) + 1`` of a set of n can't all be missing from a set like it. A persistent
-table maps those words (and fingerprints) to accepted records. A batch joins that table once; an exact comparison of
-word sets decides on the pairs that this proposes, which are all that can be alike, and what is accepted is appended.
-History is bucketed by its join key, so a batch shuffles itself and never the history.
+"""Judging new batches of findings against all that was accepted before, by content-defined chunks.
+
+A hash that rolls from word to word sets the boundaries of a snippet's chunks, so that an edit changes the chunks it
+touches and no others. A persistent table maps chunks to accepted records; the bytes two snippets share in chunks decide
+by coverage which are compared, and what is accepted is appended. Chunks alone can't find every pair of like word sets
+(words may stand in another order), so what they leave undecided is looked up once more by its rarest words, which no like
+pair can be without. An exact comparison of word sets has the last word. The tables are bucketed by their join
+keys, so a batch shuffles itself and never the history.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracebed.functions.text import present, utc_time
@@ -24,17 +25,25 @@ from tracebed.session import Scratch
 
 MIN_WORDS = 10
 MIN_SIMILARITY = 0.7
-#: pairs that rare words of one run may propose inside the run; a batch with more is judged in several runs, in order
-PAIR_BUDGET = 50_000_000
+#: share of the larger snippet's bytes in common chunks from which two snippets are compared
+MIN_COVERAGE = 0.5
+#: one word in so many ends a chunk
+CHUNK_WORDS = 3
+#: tokens whose frequency is kept for the common order, the most frequent; all others come first in it
+ORDER_SIZE = 50_000
 
 _LINE_NUMBER = re.compile(r"^[ \t]*\d+:", re.M)
 _WORD = re.compile(r"\w+")
-_CHUNKS = pa.list_(pa.int64())
+_IDS = pa.list_(pa.int64())
+
+
+def _texts_words(snippet: str | None) -> list[str]:
+    return _WORD.findall(_LINE_NUMBER.sub("", snippet or "").lower())
 
 
 def snippet_words(snippet: str | None) -> set[str]:
     """Lower-cased runs of letters, digits and underscores, line-number prefixes left out."""
-    return set(_WORD.findall(_LINE_NUMBER.sub("", snippet or "").lower()))
+    return set(_texts_words(snippet))
 
 
 def _signed(h: int) -> int:
@@ -42,22 +51,34 @@ def _signed(h: int) -> int:
 
 
 def snippet_features(snippet: str | None) -> dict | None:
-    """The word set's name, words to compare and chunks to propose pairs by (64-bit names of single words), None with less than MIN_WORDS words."""
+    """The word set's name, its words and chunks, None with less than MIN_WORDS words.
+
+    Words are 64-bit names. A chunk is 47 bits of the hash of its words and 16 of its size in bytes; equal chunks of one
+    snippet count once.
+    """
     import xxhash
 
-    words = [w.encode("utf-8", "surrogatepass") for w in snippet_words(snippet)]
-    if len(words) < MIN_WORDS:
+    text = _texts_words(snippet)
+    sizes = {w: w.encode("utf-8", "surrogatepass") for w in text}
+    if len(sizes) < MIN_WORDS:
         return None
-    chunks = sorted(_signed(xxhash.xxh64_intdigest(w)) for w in words)
-    # 32 bits a word are enough to compare two sets: of a hundred words two collide once in a million pairs
-    return {"cls": xxhash.xxh3_128_digest(b"\0".join(sorted(words))), "words": sorted({c >> 32 for c in chunks}), "chunks": chunks}
+    ids = {w: xxhash.xxh64_intdigest(b) for w, b in sizes.items()}
+    chunks, h, size = set(), 0, 0
+    for w in text:
+        h, size = (h * 0x9E3779B97F4A7C15 + ids[w]) & 0xFFFFFFFFFFFFFFFF, size + len(sizes[w]) + 1
+        if ids[w] % CHUNK_WORDS == 0:
+            chunks.add((h >> 17) << 16 | min(size, 0xFFFF))
+            h = size = 0
+    if size:
+        chunks.add((h >> 17) << 16 | min(size, 0xFFFF))
+    return {"cls": xxhash.xxh3_128_digest(b"\0".join(sorted(sizes.values()))), "words": sorted(map(_signed, ids.values())), "chunks": sorted(chunks)}
 
 
 def with_features(rows: DataFrame) -> DataFrame:
     """The rows with cls (the 128-bit name of the word set, null for a short one), words and chunks.
 
     Copies of one word set within a task and batch carry words and chunks once, with the first of them: a set that a
-    third of all rows share leaves each task as one row of postings. The snippet itself, the last column, is dropped.
+    third of all rows share leaves each task as one row. The snippet itself, the last column, is dropped.
     """
     keep = rows.columns[:-1]
 
@@ -77,29 +98,64 @@ def with_features(rows: DataFrame) -> DataFrame:
                         seen.add(key)
                     out.append((found["cls"], found["words"], found["chunks"]))
             columns = list(zip(*out)) if out else [[]] * 3
-            types = (pa.binary(), pa.list_(pa.int32()), _CHUNKS)
+            types = (pa.binary(), _IDS, _IDS)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(list(c), t) for c, t in zip(columns, types))], names=[*keep, "cls", "words", "chunks"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    return rows.mapInArrow(compute, f"{fields}, cls binary, words array<int>, chunks array<bigint>")
+    return rows.mapInArrow(compute, f"{fields}, cls binary, words array<bigint>, chunks array<bigint>")
+
+
+def common_order(sets: DataFrame) -> DataFrame:
+    """t, n: the ORDER_SIZE tokens (words and chunks) that most of the sets hold, counted over all sets.
+
+    Any order finds every pair, if it is the same for all that is compared; rare tokens first propose the fewest.
+    """
+    counted = sets.select(F.explode(F.concat("words", "chunks")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return counted.where("n > 1").orderBy(F.desc("n"), "t").limit(ORDER_SIZE)
+
 
+def leading_words(ordered: list[int]) -> list[int]:
+    """The words of a set, rare ones first, that a set like it must share one of."""
+    n = len(ordered)
+    return ordered[: n - math.ceil(MIN_SIMILARITY * n - 1e-6) + 1]
 
-def word_frequencies(sets: DataFrame) -> DataFrame:
-    """t, n: how many of the sets (see ``with_features``) each word stands in."""
-    return sets.select(F.explode("chunks").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+def leading_chunks(ordered: list[int]) -> list[int]:
+    """The chunks, rare ones first, that a snippet with MIN_COVERAGE must share one of: from the others on too few bytes are left."""
+    left = whole = sum(c & 0xFFFF for c in ordered)
+    out = []
+    for c in ordered:
+        if left < MIN_COVERAGE * whole - 1e-6:
+            break
+        out.append(c)
+        left -= c & 0xFFFF
+    return out
 
 
-def rarest_words(sets: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """id, chunks (t, pos, n): the words of each set that a set like it must share one of, by place in the order of frequency.
+def with_leading(sets: DataFrame, order: DataFrame) -> DataFrame:
+    """rec, batch_no, cls, words (32 bits each), chunks, lead_chunks and lead_words, the tokens that are looked up.
 
-    Any order finds every pair, if it is the same for all sets; rare words first propose the fewest. n is the size of the set.
+    The order has ORDER_SIZE rows at most, which is what is broadcast.
     """
-    words = sets.select("id", F.explode("chunks").alias("t")).join(frequencies, "t", "left")
-    ordered = words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("f"), "t"))).alias("w"))
-    n = F.size("w")
-    first = F.slice("w", F.lit(1), n - F.ceil(MIN_SIMILARITY * n - 1e-6).cast("int") + 1)
-    return ordered.select("id", F.transform(first, lambda x, i: F.struct(x["t"].alias("t"), i.alias("pos"), n.alias("n"))).alias("chunks"))
+    shared = sets.sparkSession.sparkContext.broadcast({r["t"]: r["n"] for r in order.collect()})
 
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        place = lambda t: (often.get(t, 0), t)
+        for batch in batches:
+            words, chunks = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            # 32 bits a word are enough to compare two sets: of a hundred words two collide once in a million pairs
+            columns = [
+                pa.array([sorted({w >> 32 for w in x}) for x in words], pa.list_(pa.int32())),
+                batch.column(4),
+                pa.array([leading_chunks(sorted(x, key=place)) for x in chunks], _IDS),
+                pa.array([leading_words(sorted(x, key=place)) for x in words], _IDS),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["rec", "batch_no", "cls", "words", "chunks", "lead_chunks", "lead_words"])
+
+    return sets.select("rec", "batch_no", "cls", "words", "chunks").mapInArrow(
+        lead, "rec bigint, batch_no int, cls binary, words array<int>, chunks array<bigint>, lead_chunks array<bigint>, lead_words array<bigint>"
+    )
 
 
 def _token(kind: str, value: Column) -> Column:
@@ -113,48 +169,77 @@ def _norm(name: str) -> Column:
 class AcceptedHistory:
     """Persistent tables of what was accepted, bucketed by their join keys so that a batch shuffles itself alone.
 
-    keys (k, rec): fingerprints and word-set names; postings (t, rec, pos, n): rarest words; sets (rec, words). The files lie in
-    the shared folder, the catalog entries carry ``name``.
+    keys (k, rec): fingerprints and word-set names; postings (t, kind, rec, pos, n): chunks (kind 0) and rarest words (kind 1);
+    sets (rec, words, chunks). They lie under ``path`` in the shared folder with the order of tokens they were made
+    in, and ``open`` finds them again in any later session. Rows carry the run they were written by, and a run counts from
+    its ``commit`` on: what a run that died has left behind is never read.
     """
 
-    TABLES = {"keys": ("k binary, rec bigint", "k"), "postings": ("t bigint, rec bigint, pos int, n int", "t"), "sets": ("rec bigint, words array<int>", "rec")}
-
-    def __init__(self, scratch: Scratch, name: str | None = None):
-        self.spark, self.scratch = scratch.spark, scratch
-        self.name = name or f"accepted_{uuid.uuid4().hex[:10]}"
-        self.buckets = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+    TABLES = {
+        "keys": ("k binary, rec bigint, run bigint", "k"),
+        "postings": ("t bigint, kind tinyint, rec bigint, pos int, n int, run bigint", "t"),
+        "sets": ("rec bigint, words array<int>, chunks array<bigint>, run bigint", "rec"),
+    }
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.root = spark, path
+        self.name = f"accepted_{uuid.uuid4().hex[:10]}"
+        order = spark.read.parquet(f"{path}/order")
+        self.order = order.select("t", "n")
+        self.buckets = order.select("buckets").first()[0] if order.take(1) else 0
+        self.runs = [r["run"] for r in spark.read.schema("run bigint").parquet(f"{path}/runs").collect()]
         for table, (columns, key) in self.TABLES.items():
-            self.spark.sql(f"create table {self.name}_{table} ({columns}) using parquet clustered by ({key}) into {self.buckets} buckets location '{self.path(table)}'")
+            spark.sql(f"create table {self.name}_{table} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {self.buckets} buckets location '{self.path(table)}'")
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, order: DataFrame, buckets: int | None = None) -> AcceptedHistory:
+        """An empty history under ``path``, for tokens in the given order (see ``common_order``)."""
+        buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        marked = order.select("t", "n").unionByName(spark.createDataFrame([(None, None)], "t bigint, n bigint")).withColumn("buckets", F.lit(buckets))
+        marked.write.parquet(f"{path}/order")
+        spark.createDataFrame([], "run bigint").write.parquet(f"{path}/runs")
+        return cls(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> AcceptedHistory:
+        """The history that was left under ``path``."""
+        return cls(spark, path)
 
     def path(self, table: str) -> str:
-        return self.scratch.path(f"{self.name}-{table}")
+        return f"{self.root}/{table}"
 
     def table(self, table: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{table}")
+        """Rows of all committed runs."""
+        return self.spark.table(f"{self.name}_{table}").where(F.col("run").isin(self.runs)).drop("run")
+
+    def append(self, rows: DataFrame, table: str, run: int) -> None:
+        columns, key = self.TABLES[table]
+        writer = rows.withColumn("run", F.lit(run)).select(*(c.split()[0] for c in columns.split(", "))).repartition(self.buckets, key)
+        writer.write.format("parquet").bucketBy(self.buckets, key).sortBy(key).mode("append").option("path", self.path(table)).saveAsTable(f"{self.name}_{table}")
 
-    def append(self, rows: DataFrame, table: str) -> None:
-        key = self.TABLES[table][1]
-        writer = rows.repartition(self.buckets, key).write.format("parquet").bucketBy(self.buckets, key)
-        writer.mode("append").option("path", self.path(table)).saveAsTable(f"{self.name}_{table}")
+    def commit(self, run: int) -> None:
+        self.spark.createDataFrame([(run,)], "run bigint").coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        self.runs.append(run)
 
     def accepted(self) -> DataFrame:
         """rec of everything accepted so far."""
         return self.table("keys").select("rec").distinct()
 
-    def drop(self) -> None:
+    def close(self) -> None:
+        """Forget the catalog's entries; the files stay."""
         for table in self.TABLES:
             self.spark.sql(f"drop table if exists {self.name}_{table}")
 
 
-def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch, frequencies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: rows (rec, batch_no, keys, known) of each finding, and features (rec, batch_no, cls, words, chunks as ``rarest_words`` gives them).
+def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch, order: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables rows (rec, batch_no, keys, known) of each finding and features (see ``with_leading``), and the order of tokens.
 
     ``known``: a fingerprint that the findings index had first seen before the batch. Fingerprints compare without
     letter case and outer blanks, missing ones equal nothing; an unreadable first_seen is before no batch. Repeated
     rows count once; were a finding_no to come with several contents, the greatest counts.
 
-    The order of words must be one for all that is ever compared: a batch that comes later is prepared with the
-    ``frequencies`` that the history was (words not in it come first); without them those of ``scan`` itself count.
+    The order of tokens must be one for all that is ever compared: a batch that comes later is prepared in the
+    ``order`` of its history; without one that of ``scan`` itself is made.
     """
     read = scan.where("finding_no is not null").select(
         F.col("finding_no").cast("long").alias("rec"),
@@ -164,70 +249,105 @@ def prepare(scan: DataFrame, findings: DataFrame, scratch: Scratch, frequencies:
         _token("f", _norm("fingerprint")).alias("f"),
         F.col("code_snippet").alias("snippet"),
     )
-    both = scratch.keep(with_features(read).withColumn("id", F.monotonically_increasing_id()), "features")
+    both = scratch.keep(with_features(read), "features")
     sets = both.where("words is not null")
-    rare = rarest_words(sets, frequencies or word_frequencies(sets))
-    features = scratch.keep(sets.select("id", "rec", "batch_no", "cls", "words").join(rare, "id").drop("id"), "rarest")
+    order = order if order is not None else scratch.keep(common_order(sets), "order")
+    features = scratch.keep(with_leading(sets, order.where("t is not null")), "leading")
     slim = both.groupBy("rec").agg(F.max(F.struct("batch_no", "at", "s", "f", "cls")).alias("v")).select("rec", "v.*")
     tokens = F.filter(F.array(_token("s", _norm("semantic_fingerprint")), _token("f", _norm("fingerprint"))), lambda t: t.isNotNull())
     first = findings.select(utc_time(F.col("first_seen")).alias("seen"), F.explode(tokens).alias("k")).where("seen is not null").groupBy("k").agg(F.min("seen").alias("seen"))
     keys = F.filter(F.array("s", "f"), lambda t: t.isNotNull())
     known = slim.select("rec", "at", F.explode(keys).alias("k")).join(first, "k").where("seen < at").select("rec").distinct().withColumn("known", F.lit(True))
     rows = slim.join(known, "rec", "left").select("rec", "batch_no", F.filter(F.array("s", "f", "cls"), lambda t: t.isNotNull()).alias("keys"), F.coalesce("known", F.lit(False)).alias("known"))
-    return scratch.keep(rows, "rows"), features
+    return scratch.keep(rows, "rows"), features, order
 
 
-def _postings(features: DataFrame) -> DataFrame:
-    return features.select("rec", F.explode("chunks").alias("c")).select("c.t", "rec", "c.pos", "c.n")
+def _postings(features: DataFrame, kind: int) -> DataFrame:
+    """t, kind, rec, pos, n of the leading chunks (kind 0) or words (kind 1)."""
+    column, of = ("lead_chunks", "chunks") if kind == 0 else ("lead_words", "words")
+    return features.select("rec", F.size(of).alias("n"), F.posexplode(column).alias("pos", "t")).select("t", F.lit(kind).cast("tinyint").alias("kind"), "rec", "pos", "n")
 
 
 def _members(rows: DataFrame) -> DataFrame:
     return rows.select("rec", F.explode("keys").alias("k"))
 
 
-def like_pairs(features: DataFrame, history: AcceptedHistory) -> DataFrame:
-    """k, other: word sets of a run that are alike, and (other null) those like an accepted record.
+def _proposed(posted: DataFrame, others: DataFrame, kind: int) -> DataFrame:
+    """rec, old: pairs with a leading token in common.
 
-    Rarest words are joined once with the history's and once with the run's own. A pair goes on where what is left of
-    both sets from a shared word on is enough; of two sets that are alike this holds at the first word they share.
+    Of words a pair goes on where what is left of both sets from the shared word on is enough; of two sets that are alike
+    this holds at the first word they share.
     """
-    posted = _postings(features)
-    mine = posted.select("t", F.col("rec").alias("old"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"))
-    old = history.table("postings").select("t", F.col("rec").alias("old"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"))
-    enough = F.least(F.col("n") - F.col("pos"), F.col("old_n") - F.col("old_pos")) * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (F.col("n") + F.col("old_n")) - 1e-6
-    past = posted.join(old, "t").where(enough).select("rec", "old").distinct()
-    inside = posted.join(mine, "t").where("old < rec").where(enough).select("rec", "old").distinct()
-    own = features.select("rec", F.col("cls").alias("k"), "words")
+    mine, old = posted.where(F.col("kind") == kind), others.where(F.col("kind") == kind).select("t", F.col("rec").alias("old"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"))
+    pairs = mine.join(old, "t")
+    if kind == 1:
+        pairs = pairs.where(F.least(F.col("n") - F.col("pos"), F.col("old_n") - F.col("old_pos")) * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (F.col("n") + F.col("old_n")) - 1e-6)
+    return pairs.select("rec", "old")
+
+
+def _old(sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("rec").alias("old"), F.col("words").alias("old_words"), F.col("chunks").alias("old_chunks"))
+
+
+def _alike() -> Column:
     shared = F.size(F.array_intersect("words", "old_words"))
-    alike = shared / (F.size("words") + F.size("old_words") - shared) >= MIN_SIMILARITY
-    old_sets = history.table("sets").select(F.col("rec").alias("old"), F.col("words").alias("old_words"))
-    own_sets = features.select(F.col("rec").alias("old"), F.col("words").alias("old_words"), F.col("cls").alias("other"))
-    like_old = past.join(own, "rec").join(old_sets, "old").where(alike).select("k", F.lit(None).cast("binary").alias("other"))
-    like_own = inside.join(own, "rec").join(own_sets, "old").where(alike).where("k <> other").select("k", "other")
-    return like_old.unionByName(like_own)
+    return shared / (F.size("words") + F.size("old_words") - shared) >= MIN_SIMILARITY
+
+
+def _size(chunks: Column) -> Column:
+    return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda n, c: n + c.bitwiseAND(F.lit(0xFFFF)))
+
+
+def covered(features: DataFrame, history: AcceptedHistory) -> DataFrame:
+    """cls of the word sets like an accepted one that shares MIN_COVERAGE of the bytes in chunks with them."""
+    pairs = _proposed(_postings(features, 0), history.table("postings"), 0).distinct()
+    both = pairs.join(features.select("rec", "cls", "words", "chunks"), "rec").join(_old(history.table("sets")), "old")
+    shared = _size(F.array_intersect("chunks", "old_chunks"))
+    return both.where(shared >= MIN_COVERAGE * F.greatest(_size(F.col("chunks")), _size(F.col("old_chunks"))) - 1e-6).where(_alike()).select("cls").distinct()
 
 
-def judge_run(rows: DataFrame, features: DataFrame, run: tuple[int, int, int, int], history: AcceptedHistory, scratch: Scratch) -> None:
-    """Append to the history what is accepted of a run: rows of batches run[0..1] with rec in run[2..3].
+def uncovered_like(features: DataFrame, history: AcceptedHistory) -> DataFrame:
+    """cls of the word sets like an accepted one, by their rarest words: what coverage has left undecided."""
+    pairs = _proposed(_postings(features, 1), history.table("postings"), 1).distinct()
+    return pairs.join(features.select("rec", "cls", "words"), "rec").join(_old(history.table("sets")), "old").where(_alike()).select("cls").distinct()
 
-    The run comes after everything in the history and is taken in order of rec. A row is a repeat when a key or a word
-    set like its own was accepted before, in the history or earlier in the run. Rows whose answer hangs on earlier rows
-    of the run are settled in rounds: a row with no undecided earlier row like it is accepted, then all later ones like
-    it are repeats. Equal keys and equal word sets act as groups with one least member, never as pairs.
+
+def like_pairs(features: DataFrame) -> DataFrame:
+    """k, other: names of word sets of one batch that are alike, by common chunks and rarest words."""
+    posted = _postings(features, 0).unionByName(_postings(features, 1))
+    pairs = reduce(DataFrame.unionByName, (_proposed(posted, posted, kind).where("old < rec") for kind in (0, 1))).distinct()
+    both = pairs.join(features.select("rec", F.col("cls").alias("k"), "words"), "rec").join(_old(features).join(features.select(F.col("rec").alias("old"), F.col("cls").alias("other")), "old"), "old")
+    return both.where("k <> other").where(_alike()).select("k", "other")
+
+
+def judge_batch(rows: DataFrame, features: DataFrame, batch_no: int, history: AcceptedHistory, scratch: Scratch) -> None:
+    """Append to the history what is accepted of a batch, which comes after everything in the history.
+
+    Rows are taken in order of rec. A row is a repeat when a key or a word set like its own was accepted before, in the
+    history or earlier in the batch. What the history has is taken off step by step, so that each step looks up less: equal
+    keys, then chunks by coverage, then rarest words. Rows whose answer hangs on earlier rows of the batch are
+    settled in rounds: a row with no undecided earlier row like it is accepted, then all later ones like it are repeats.
+    Equal keys and equal word sets act as groups with one least member, never as pairs.
     """
-    in_run = F.col("batch_no").between(run[0], run[1])
-    fresh = rows.where(in_run & F.col("rec").between(run[2], run[3]) & ~F.col("known"))
-    features = features.where(in_run)
-    links = scratch.keep(like_pairs(features, history), "links")
-    taken = history.table("keys").select("k").unionByName(links.where("other is null").select("k"))
-    gone = _members(fresh).join(taken, "k", "left_semi").select("rec").distinct()
-    alive = fresh.join(gone, "rec", "left_anti")
-    pairs = links.where("other is not null")
+    fresh = rows.where((F.col("batch_no") == batch_no) & ~F.col("known")).select("rec", "keys")
+    again = _members(fresh).join(history.table("keys").select("k"), "k", "left_semi").select("rec").distinct()
+    alive = scratch.keep(fresh.join(again, "rec", "left_anti"), "alive")
+    members = _members(alive)
+    mine = features.where(F.col("batch_no") == batch_no).join(members.select(F.col("k").alias("cls")), "cls", "left_semi")
+    once = mine.groupBy("cls").agg(F.min("rec").alias("rec"))
+    mine = scratch.keep(mine.join(once, ["cls", "rec"], "left_semi"), "mine")
+    like = scratch.keep(covered(mine, history), "covered")
+    mine = mine.join(like, "cls", "left_anti")
+    like = scratch.keep(like.unionByName(uncovered_like(mine, history)), "like")
+    mine = scratch.keep(mine.join(like, "cls", "left_anti"), "new")
+    pairs = scratch.keep(like_pairs(mine), "pairs")
+    gone = members.join(like.select(F.col("cls").alias("k")), "k", "left_semi").select("rec").distinct()
     both = pairs.select("k", "other").unionByName(pairs.select(F.col("other").alias("k"), F.col("k").alias("other")))
+    alive = alive.join(gone, "rec", "left_anti")
     members = _members(alive)
     crowded = members.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k").unionByName(both.select("k")).distinct()
     left = scratch.keep(members.join(crowded, "k", "left_semi"), "contested")
-    repeats = [gone]
+    repeats = []
     while not left.isEmpty():
         least = left.groupBy("k").agg(F.min("rec").alias("lo"))
         linked = both.join(least.withColumnRenamed("k", "other"), "other").groupBy("k").agg(F.min("lo").alias("lo2"))
@@ -238,54 +358,33 @@ def judge_run(rows: DataFrame, features: DataFrame, run: tuple[int, int, int, in
         settled = scratch.keep(verdict.where("by is not null").select("rec", (F.col("by") < F.col("rec")).alias("repeat")), "settled")
         repeats.append(settled.where("repeat").select("rec"))
         left = left.join(settled, "rec", "left_anti")
-    accepted = scratch.keep(fresh.join(reduce(DataFrame.unionByName, repeats), "rec", "left_anti").select("rec", "keys"), "accepted")
+    accepted = reduce(lambda rest, gone: rest.join(gone, "rec", "left_anti"), repeats, alive)
+    accepted = scratch.keep(accepted, "accepted")
+    run = uuid.uuid4().int >> 65
     # a record without any key is kept too, under a key of its own
     named = accepted.withColumn("keys", F.when(F.size("keys") == 0, F.array(_token("r", F.col("rec").cast("string")))).otherwise(F.col("keys")))
-    history.append(_members(named).select("k", "rec"), "keys")
-    kept = features.join(_members(accepted).select(F.col("k").alias("cls")), "cls", "left_semi")
-    history.append(_postings(kept), "postings")
-    history.append(kept.select("rec", "words"), "sets")
-
+    history.append(_members(named), "keys", run)
+    kept = mine.join(_members(accepted).select(F.col("k").alias("cls")), "cls", "left_semi")
+    history.append(_postings(kept, 0).unionByName(_postings(kept, 1)), "postings", run)
+    history.append(kept.select("rec", "words", "chunks"), "sets", run)
+    history.commit(run)
 
-def runs_of(rows: DataFrame, features: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(first batch, last batch, first rec, last rec) of the runs to judge, in order.
 
-    The newest batch is a run of its own. The batches before it are loaded together as far as the pairs that their
-    common rare words propose stay within PAIR_BUDGET, and in parts, down to parts of a batch, beyond: what was accepted
-    in a part keeps its repeats from pairing up in the next.
-    """
-    batches = [(r["batch_no"], r["a"], r["b"], r["n"]) for r in rows.groupBy("batch_no").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.count("*").alias("n")).orderBy("batch_no").collect()]
-    if not batches:
-        return []
-    alike = _postings(features).groupBy("t").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-    pairs_per_row2 = (alike or 0.0) / max(1, sum(b[3] for b in batches)) ** 2
-    most = math.sqrt(PAIR_BUDGET / pairs_per_row2) if pairs_per_row2 else math.inf
-    runs: list[list[int]] = []
-    size = 0
-    for i, (no, a, b, n) in enumerate(batches):
-        if runs and size + n <= most and i < len(batches) - 1:
-            runs[-1][1], runs[-1][3], size = no, max(runs[-1][3], b), size + n
-            continue
-        parts = max(1, math.ceil(n / most)) if most < math.inf else 1
-        step = (b - a) // parts + 1
-        runs += [[no, no, a + j * step, min(b, a + (j + 1) * step - 1)] for j in range(parts)]
-        size = n if parts == 1 else math.inf
-    return [tuple(r) for r in runs]
-
-
-def repeated_findings(scan: DataFrame, findings: DataFrame) -> DataFrame:
+def repeated_findings(scan: DataFrame, findings: DataFrame, path: str | None = None) -> DataFrame:
     """finding_no of each row of the batches that repeats something known or accepted before it.
 
-    The history is built up run by run, the newest batch being judged against all before it; a batch that comes later
-    needs one more ``judge_run`` against the same history. A null batch number counts as 0. Empty tables give no rows.
+    Batches are judged one after the other, each against the history alone. With ``path`` the history stays there for the
+    batches to come (``AcceptedHistory.open`` and ``judge_batch``), else it is scratch. A null batch number counts as 0.
+    Empty tables give no rows. The driver sees the numbers of the batches and no row of them.
     """
-    scratch = Scratch(scan.sparkSession, "batches")
-    rows, features = prepare(scan, findings, scratch)
-    history = AcceptedHistory(scratch)
-    for run in runs_of(rows, features):
-        judge_run(rows, features, run, history, scratch)
+    spark = scan.sparkSession
+    scratch = Scratch(spark, "batches")
+    rows, features, order = prepare(scan, findings, scratch)
+    history = AcceptedHistory.create(spark, path or scratch.path("history"), order)
+    for r in rows.select("batch_no").distinct().orderBy("batch_no").collect():
+        judge_batch(rows, features, r["batch_no"], history, scratch)
     columns, _ = AcceptedHistory.TABLES["keys"]
-    written = history.spark.read.schema(columns).parquet(history.path("keys")) if not rows.isEmpty() else history.table("keys")
+    written = spark.read.schema(columns).parquet(history.path("keys")) if history.runs else history.table("keys")
     out = rows.select(F.col("rec").alias("finding_no")).join(written.select(F.col("rec").alias("finding_no")), "finding_no", "left_anti")
-    history.drop()
+    history.close()
     return out
