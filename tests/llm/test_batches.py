@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tracebed.llm import batches
-from tracebed.llm.batches import AcceptedHistory, judge_batch, prepare, repeated_findings, snippet_features, snippet_words
+from tracebed.llm.batches import AcceptedHistory, judge_run, prepare, repeated_findings, snippet_features, snippet_words
 from tracebed.session import Scratch
 
 SCAN = "finding_no bigint, batch_no int, batch_at timestamp_ntz, fingerprint string, semantic_fingerprint string, code_snippet string, rec string"
@@ -97,19 +97,23 @@ def test_hot_group_of_copies_and_near_copies(spark):
     assert found(spark, scan) == brute(scan)
 
 
-def test_a_later_session_opens_the_history_and_judges_one_more_batch(spark, tmp_path):
+def test_a_later_session_opens_the_history_and_judges_one_more_batch(spark, tmp_path, monkeypatch):
     rng = random.Random(9)
     codes = snippets(rng, 90)
     scan = [(i + 1, 1 + i // 30, f"f{rng.randint(0, 70)}", None, codes[i]) for i in range(90)]
     early, late = tables(spark, scan[:60]), tables(spark, scan[60:])
+    monkeypatch.setattr(batches, "RUN_ROWS", 0)
     repeats = {r.finding_no for r in repeated_findings(*early, path=str(tmp_path / "h")).collect()}
     history = AcceptedHistory.open(spark, str(tmp_path / "h"))
     assert len(history.runs) == 2
     # what a run that died has left behind is never read
     history.append(spark.createDataFrame([(b"x", 61)], "k binary, rec bigint"), "keys", 5)
+    history.close()
+    history = AcceptedHistory.open(spark, str(tmp_path / "h"))
+    assert history.spoilt
     scratch = Scratch(spark, "t")
     rows, features, _ = prepare(*late, scratch, history.order)
-    judge_batch(rows, features, 3, history, scratch)
+    judge_run(rows, features, 3, 3, history, scratch)
     accepted = {r.rec for r in history.accepted().collect()}
     history.close()
     assert {r[0] for r in scan} - accepted == brute(scan) and repeats == {n for n in brute(scan) if n <= 60}

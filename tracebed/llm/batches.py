@@ -14,6 +14,7 @@ import math
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ MIN_SIMILARITY = 0.7
 MIN_COVERAGE = 0.5
 #: one word in so many ends a chunk
 CHUNK_WORDS = 3
+#: rows up to which small batches are judged together, as one run
+RUN_ROWS = 50_000
 #: tokens whose frequency is kept for the common order, the most frequent; all others come first in it
 ORDER_SIZE = 50_000
 
@@ -188,8 +191,10 @@ class AcceptedHistory:
         self.order = order.select("t", "n")
         self.buckets = order.select("buckets").first()[0] if order.take(1) else 0
         self.runs = [r["run"] for r in spark.read.schema("run bigint").parquet(f"{path}/runs").collect()]
+        self.spoilt = False
         for table, (columns, key) in self.TABLES.items():
             spark.sql(f"create table {self.name}_{table} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {self.buckets} buckets location '{self.path(table)}'")
+            self.spoilt |= not spark.table(f"{self.name}_{table}").where(~F.col("run").isin(self.runs)).isEmpty()
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, order: DataFrame, buckets: int | None = None) -> AcceptedHistory:
@@ -209,8 +214,9 @@ class AcceptedHistory:
         return f"{self.root}/{table}"
 
     def table(self, table: str) -> DataFrame:
-        """Rows of all committed runs."""
-        return self.spark.table(f"{self.name}_{table}").where(F.col("run").isin(self.runs)).drop("run")
+        """Rows of all committed runs; looked at one by one only where others have left rows too."""
+        rows = self.spark.table(f"{self.name}_{table}")
+        return (rows.where(F.col("run").isin(self.runs)) if self.spoilt else rows).drop("run")
 
     def append(self, rows: DataFrame, table: str, run: int) -> None:
         columns, key = self.TABLES[table]
@@ -218,7 +224,7 @@ class AcceptedHistory:
         writer.write.format("parquet").bucketBy(self.buckets, key).sortBy(key).mode("append").option("path", self.path(table)).saveAsTable(f"{self.name}_{table}")
 
     def commit(self, run: int) -> None:
-        self.spark.createDataFrame([(run,)], "run bigint").coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
+        self.spark.range(1, numPartitions=1).select(F.lit(run).alias("run")).write.mode("append").parquet(f"{self.root}/runs")
         self.runs.append(run)
 
     def accepted(self) -> DataFrame:
@@ -278,8 +284,9 @@ def _proposed(posted: DataFrame, others: DataFrame, kind: int) -> DataFrame:
     Of words a pair goes on where what is left of both sets from the shared word on is enough; of two sets that are alike
     this holds at the first word they share.
     """
-    mine, old = posted.where(F.col("kind") == kind), others.where(F.col("kind") == kind).select("t", F.col("rec").alias("old"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"))
-    pairs = mine.join(old, "t")
+    mine = posted.where(F.col("kind") == kind).hint("shuffle_hash")
+    old = others.where(F.col("kind") == kind).select("t", F.col("rec").alias("old"), F.col("pos").alias("old_pos"), F.col("n").alias("old_n"))
+    pairs = old.join(mine, "t")
     if kind == 1:
         pairs = pairs.where(F.least(F.col("n") - F.col("pos"), F.col("old_n") - F.col("old_pos")) * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (F.col("n") + F.col("old_n")) - 1e-6)
     return pairs.select("rec", "old")
@@ -301,7 +308,7 @@ def _size(chunks: Column) -> Column:
 def covered(features: DataFrame, history: AcceptedHistory) -> DataFrame:
     """cls of the word sets like an accepted one that shares MIN_COVERAGE of the bytes in chunks with them."""
     pairs = _proposed(_postings(features, 0), history.table("postings"), 0).distinct()
-    both = pairs.join(features.select("rec", "cls", "words", "chunks"), "rec").join(_old(history.table("sets")), "old")
+    both = _old(history.table("sets")).join(pairs.join(features.select("rec", "cls", "words", "chunks"), "rec").hint("shuffle_hash"), "old")
     shared = _size(F.array_intersect("chunks", "old_chunks"))
     return both.where(shared >= MIN_COVERAGE * F.greatest(_size(F.col("chunks")), _size(F.col("old_chunks"))) - 1e-6).where(_alike()).select("cls").distinct()
 
@@ -309,36 +316,37 @@ def covered(features: DataFrame, history: AcceptedHistory) -> DataFrame:
 def uncovered_like(features: DataFrame, history: AcceptedHistory) -> DataFrame:
     """cls of the word sets like an accepted one, by their rarest words: what coverage has left undecided."""
     pairs = _proposed(_postings(features, 1), history.table("postings"), 1).distinct()
-    return pairs.join(features.select("rec", "cls", "words"), "rec").join(_old(history.table("sets")), "old").where(_alike()).select("cls").distinct()
+    return _old(history.table("sets")).join(pairs.join(features.select("rec", "cls", "words"), "rec").hint("shuffle_hash"), "old").where(_alike()).select("cls").distinct()
 
 
 def like_pairs(features: DataFrame) -> DataFrame:
-    """k, other: names of word sets of one batch that are alike, by common chunks and rarest words."""
+    """k, other: names of word sets of one run that are alike, by common chunks and rarest words."""
     posted = _postings(features, 0).unionByName(_postings(features, 1))
     pairs = reduce(DataFrame.unionByName, (_proposed(posted, posted, kind).where("old < rec") for kind in (0, 1))).distinct()
     both = pairs.join(features.select("rec", F.col("cls").alias("k"), "words"), "rec").join(_old(features).join(features.select(F.col("rec").alias("old"), F.col("cls").alias("other")), "old"), "old")
     return both.where("k <> other").where(_alike()).select("k", "other")
 
 
-def judge_batch(rows: DataFrame, features: DataFrame, batch_no: int, history: AcceptedHistory, scratch: Scratch) -> None:
-    """Append to the history what is accepted of a batch, which comes after everything in the history.
+def judge_run(rows: DataFrame, features: DataFrame, first: int, last: int, history: AcceptedHistory, scratch: Scratch) -> None:
+    """Append to the history what is accepted of the batches first to last, which come after everything in the history.
 
     Rows are taken in order of rec. A row is a repeat when a key or a word set like its own was accepted before, in the
-    history or earlier in the batch. What the history has is taken off step by step, so that each step looks up less: equal
-    keys, then chunks by coverage, then rarest words. Rows whose answer hangs on earlier rows of the batch are
+    history or earlier in the run. What the history has is taken off step by step, so that each step looks up less: equal
+    keys, then chunks by coverage, then rarest words. Rows whose answer hangs on earlier rows of the run are
     settled in rounds: a row with no undecided earlier row like it is accepted, then all later ones like it are repeats.
     Equal keys and equal word sets act as groups with one least member, never as pairs.
     """
-    fresh = rows.where((F.col("batch_no") == batch_no) & ~F.col("known")).select("rec", "keys")
-    again = _members(fresh).join(history.table("keys").select("k"), "k", "left_semi").select("rec").distinct()
+    in_run = F.col("batch_no").between(first, last)
+    fresh = rows.where(in_run & ~F.col("known")).select("rec", "keys")
+    again = history.table("keys").select("k").join(_members(fresh).hint("shuffle_hash"), "k").select("rec").distinct()
     alive = scratch.keep(fresh.join(again, "rec", "left_anti"), "alive")
     members = _members(alive)
-    mine = features.where(F.col("batch_no") == batch_no).join(members.select(F.col("k").alias("cls")), "cls", "left_semi")
+    mine = features.where(in_run).join(members.select(F.col("k").alias("cls")), "cls", "left_semi")
     once = mine.groupBy("cls").agg(F.min("rec").alias("rec"))
     mine = scratch.keep(mine.join(once, ["cls", "rec"], "left_semi"), "mine")
     like = scratch.keep(covered(mine, history), "covered")
     mine = mine.join(like, "cls", "left_anti")
-    like = scratch.keep(like.unionByName(uncovered_like(mine, history)), "like")
+    like = like.unionByName(scratch.keep(uncovered_like(mine, history), "like"))
     mine = scratch.keep(mine.join(like, "cls", "left_anti"), "new")
     pairs = scratch.keep(like_pairs(mine), "pairs")
     gone = members.join(like.select(F.col("cls").alias("k")), "k", "left_semi").select("rec").distinct()
@@ -363,26 +371,46 @@ def judge_batch(rows: DataFrame, features: DataFrame, batch_no: int, history: Ac
     run = uuid.uuid4().int >> 65
     # a record without any key is kept too, under a key of its own
     named = accepted.withColumn("keys", F.when(F.size("keys") == 0, F.array(_token("r", F.col("rec").cast("string")))).otherwise(F.col("keys")))
-    history.append(_members(named), "keys", run)
     kept = mine.join(_members(accepted).select(F.col("k").alias("cls")), "cls", "left_semi")
-    history.append(_postings(kept, 0).unionByName(_postings(kept, 1)), "postings", run)
-    history.append(kept.select("rec", "words", "chunks"), "sets", run)
+    parts = {"keys": _members(named), "postings": _postings(kept, 0).unionByName(_postings(kept, 1)), "sets": kept.select("rec", "words", "chunks")}
+    history.spoilt, clean = True, not history.spoilt
+    with ThreadPoolExecutor(len(parts)) as pool:  # three jobs side by side
+        list(pool.map(lambda t: history.append(parts[t], t, run), parts))
     history.commit(run)
+    history.spoilt = not clean
+
+
+def runs_of(rows: DataFrame) -> list[tuple[int, int]]:
+    """(first batch, last batch) of the runs to judge, in order.
+
+    A batch is a run, and the newest always one of its own; batches of few rows before it go together up to RUN_ROWS rows, as
+    long as their records rise from batch to batch.
+    """
+    runs: list[tuple[int, int]] = []
+    size, top = math.inf, None
+    batches = rows.groupBy("batch_no").agg(F.min("rec").alias("a"), F.max("rec").alias("b"), F.count("*").alias("n")).orderBy("batch_no").collect()
+    for r in batches:
+        if size + r["n"] <= RUN_ROWS and r["a"] > top and r is not batches[-1]:
+            runs[-1], size = (runs[-1][0], r["batch_no"]), size + r["n"]
+        else:
+            runs, size = [*runs, (r["batch_no"], r["batch_no"])], r["n"]
+        top = r["b"]
+    return runs
 
 
 def repeated_findings(scan: DataFrame, findings: DataFrame, path: str | None = None) -> DataFrame:
     """finding_no of each row of the batches that repeats something known or accepted before it.
 
-    Batches are judged one after the other, each against the history alone. With ``path`` the history stays there for the
-    batches to come (``AcceptedHistory.open`` and ``judge_batch``), else it is scratch. A null batch number counts as 0.
+    Runs of batches are judged one after the other, each against the history. With ``path`` the history stays there for the
+    batches to come (``AcceptedHistory.open`` and ``judge_run``), else it is scratch. A null batch number counts as 0.
     Empty tables give no rows. The driver sees the numbers of the batches and no row of them.
     """
     spark = scan.sparkSession
     scratch = Scratch(spark, "batches")
     rows, features, order = prepare(scan, findings, scratch)
     history = AcceptedHistory.create(spark, path or scratch.path("history"), order)
-    for r in rows.select("batch_no").distinct().orderBy("batch_no").collect():
-        judge_batch(rows, features, r["batch_no"], history, scratch)
+    for first, last in runs_of(rows):
+        judge_run(rows, features, first, last, history, scratch)
     columns, _ = AcceptedHistory.TABLES["keys"]
     written = spark.read.schema(columns).parquet(history.path("keys")) if history.runs else history.table("keys")
     out = rows.select(F.col("rec").alias("finding_no")).join(written.select(F.col("rec").alias("finding_no")), "finding_no", "left_anti")
