@@ -69,6 +69,27 @@ def test_value_over_lines_that_nothing_announces():
     assert sorted(text_spans(["box = (\"vNr4OJZ0Wggx\" +", "    \"9fZU6QhLNly5mXUm\")", "ok()"])) == [0, 1]
 
 
+@pytest.mark.parametrize("n", [0, 8, 40, 90, 4000])
+def test_words_announce_a_value_from_any_distance(n):
+    far = f"conn(password=cfg, {'a, ' * n}'kq7Zt93bLw')"
+    assert [far[a:b] for a, b in line_spans(far)] == ["kq7Zt93bLw"]
+    after = f"x('kq7Zt93bLw', {'a, ' * n}) # the password"
+    assert [after[a:b] for a, b in line_spans(after)] == ["kq7Zt93bLw"]
+    assert line_spans(f"conn(total=cfg, {'a, ' * n}'kq7Zt93bLw')") == []
+
+
+def test_many_values_on_a_long_line_cost_in_proportion():
+    import time
+
+    line = lambda n: "password, " + ", ".join(f"'kq7Zt93bLw{i}'" for i in range(n))
+    took = []
+    for n in (1000, 4000):
+        began = time.process_time()
+        line_spans(line(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 FILES = "file_no bigint, lines array<string>, origin string"
 SCAN = "finding_no bigint, code_snippet string, secret_related_locations array<string>, line_no int"
 

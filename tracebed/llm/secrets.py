@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 MASK = "***REDACTED***"
 #: share of a random string's entropy that an unannounced, an announced value must reach
 STRICT, LENIENT = 0.86, 0.66
-#: characters before and after a value in which words may announce it
-CONTEXT = 200
 #: least length of an unannounced, an announced value
 STRICT_LENGTH, LENIENT_LENGTH = 20, 8
 
@@ -53,7 +51,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}
 _DIGEST = re.compile(r"(?:sha\d+|md5)[-:]", re.I)
 _ANNOUNCED = re.compile(rf"(?:(?<![a-z])(?:{_ANNOUNCE})|password|passwd|passphrase|pwd|secret|token|api[-_. ]?key)(?![a-z])", re.I)
 _HARMLESS_NAME = re.compile(rf"(?:^|[-_. ])(?:{_HARMLESS})s?$", re.I)
-_HARMLESS_BEFORE = re.compile(rf"(?:{_HARMLESS})\s*[:=(]*\s*[\"'`]?\s*$", re.I)
+_HARMLESS_END = re.compile(rf"(?:{_HARMLESS})$", re.I)
 _STANDS_FOR = re.compile(_PLACEHOLDER, re.I)
 _REFERENCE = re.compile(r"^\$\{?\w+\}?$|\$\{|\{\{|\$\(|^%\w+%$|^<.*>$|^\[.*\]$|process\.env|environ|getenv|^env[:.]|secretRef|valueFrom|^@\w+$|^ref\+|://[^@]*$")
 _HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:/.*)?")
@@ -167,19 +165,50 @@ def is_credential(value: str, announced: bool, password_place: bool = False) ->
     return randomness(value) >= STRICT
 
 
+@lru_cache(maxsize=16)
+def _announcements(line: str) -> tuple[list[int], int | None, int | None]:
+    """Where names are taken apart, the end of the first word that announces a credential and the start of the last, in the line taken apart."""
+    spots = [m.span() for m in _ANNOUNCED.finditer(_CAMEL.sub(" ", line).replace("_", " "))]
+    return [m.start() for m in _CAMEL.finditer(line)], spots[0][1] if spots else None, spots[-1][0] if spots else None
+
+
+def _back(line: str, at: int, signs: str, most: int | None = None) -> int:
+    """The place before blanks, and the given signs (no more than ``most``), that end at a place."""
+    while at and line[at - 1].isspace():
+        at -= 1
+    while at and line[at - 1] in signs and most != 0:
+        at, most = at - 1, most and most - 1
+    return at
+
+
+def _name_before(line: str, at: int, signs: str) -> str | None:
+    """The name before an assignment that ends at a place."""
+    end = _back(line, at, signs)
+    if end == _back(line, at, ""):
+        return None
+    start = end = _back(line, end, "")
+    while start and (line[start - 1].isalnum() or line[start - 1] in "_.-"):
+        start -= 1
+    return line[start:end].lstrip(".-") or None
+
+
+#: characters that the longest harmless name has at most
+_NAME_BOUND = 40
+
+
 def _announced(line: str, at: int, end: int, name: str | None) -> bool | None:
-    """True if name or line announce a credential, None if the value's own name says it is harmless."""
+    """True if name or line, whatever its length, announce a credential, None if the value's own name says it is harmless."""
     if name:
         spelt = _CAMEL.sub("_", name)
         if _HARMLESS_NAME.search(spelt):
             return None
         if _ANNOUNCED.search(spelt.replace("_", " ")):
             return True
-    rest = _CAMEL.sub(" ", f"{line[max(0, at - CONTEXT) : at]} \0 {line[end : end + CONTEXT]}").replace("_", " ")
-    before = rest.split("\0")[0]
-    if _HARMLESS_BEFORE.search(before):
+    before = _back(line, _back(line, _back(line, at, "\"'`", 1), ":=("), "")
+    if _HARMLESS_END.search(_CAMEL.sub(" ", line[max(0, before - _NAME_BOUND) : before]).replace("_", " ")):
         return None
-    return bool(_ANNOUNCED.search(rest))
+    cuts, first, last = _announcements(line)
+    return first is not None and (first <= at + bisect_left(cuts, at) or last >= end + bisect_right(cuts, end))
 
 
 def _body_span(line: str) -> tuple[int, int]:
@@ -210,8 +239,7 @@ def line_spans(line: str) -> list[tuple[int, int]]:
         parts = list(re.finditer(r"(?P<q>[\"'])(?P<v>[^\"']+)(?P=q)", line))
         whole = "".join(p["v"] for p in parts)
         if len(parts) > 1 and re.fullmatch(r"[\"'](?:[^\"']*[\"']\s*\+\s*[\"'])+[^\"']*[\"']", line[parts[0].start() : parts[-1].end()]):
-            name = re.search(r"(\w[\w.-]*)\s*[:=(]+\s*$", line[max(0, parts[0].start() - CONTEXT) : parts[0].start()])
-            said = _announced(line, parts[0].start(), parts[-1].end(), name and name[1])
+            said = _announced(line, parts[0].start(), parts[-1].end(), _name_before(line, parts[0].start(), ":=("))
             if said is not None and is_credential(whole, said):
                 spans.clear()
                 for p in parts:
@@ -327,8 +355,7 @@ def text_spans(lines: list[str | None]) -> dict[int, list[tuple[int, int]]]:
                 if closed:
                     break
             if parts:
-                name = re.search(r"(\w[\w.-]*)\s*[:=]+\s*\(?\s*$", line[max(0, first.start("q") - CONTEXT) : first.start("q")])
-                said = _announced(line, first.start("v"), first.end("v"), name and name[1])
+                said = _announced(line, first.start("v"), first.end("v"), _name_before(line, _back(line, first.start("q"), "(", 1), ":="))
                 if said is not None and is_credential(first["v"] + "".join(p[2] for p in parts), said):
                     out[i] = sorted({*out.get(i, []), first.span("v")})
                     for j, span, _ in parts:
