@@ -1,6 +1,6 @@
 import pytest
 
-from tracebed.llm.garbled import best_path, damaged_documents, readings, restored_documents
+from tracebed.llm.garbled import Alphabet, best_path, damaged_documents, readings, restored_documents
 
 CLEAN = {
     "es": "Según el diseño, la configuración no está vacía y después se omitió la excepción más pequeña del señalador.",
@@ -50,6 +50,33 @@ def test_readings():
     assert "…" in {r for _, r in readings("鈥�")}
 
 
+def test_any_number_of_lost_bytes_stays_open():
+    # cp1252 has no character for 81, 8D, 8F, 90 and 9D: a reading fills these and no others
+    broken = "Ïàïüýíÿ".encode().decode("cp1252", "replace")
+    assert broken.count("�") >= 1 and "Ïàïüýíÿ" in {r for _, r in readings(broken)}
+    both = {r for _, r in readings("Ã�Ã�")}
+    assert {"ÁÁ", "ÍÏ", "ÐÝ"} <= both and not any("Ó" in r or "Ä" in r for r in both)
+    assert {r[1:] for _, r in readings("â€�") if len(r) == 2} == set() and "”" in {r for _, r in readings("â€�")}
+    assert "’" not in {r for p, r in readings("â€�") if p == "cp1252>utf-8"}
+
+
+def test_the_search_inside_a_piece_is_guided_by_the_corpus(spark):
+    text = "ненастная ясная погода с яркими листьями"
+    broken = text.encode().decode("cp1252", "replace")
+    alphabet = Alphabet({c: 5.0 for c in text if ord(c) > 127})
+    word = broken.split(" ")[1]
+    assert word.count("�") >= 2 and text.split(" ")[1] in {r for _, r in readings(word, alphabet)}
+    docs = table(spark, [(i, t) for i, t in enumerate([text + f" {k}" for k in range(30)])] + [(99, broken)])
+    got = {r.doc_id: r for r in restored_documents(docs).collect()}
+    lost = sum("�" in w for w in broken.split(" "))
+    assert set(got) == {99} and got[99].restored == text and got[99].n_open == got[99].n_guessed == lost
+
+
+def test_what_nothing_can_restore_stays_open(spark, corpus):
+    got = {r.doc_id: (r.restored, r.n_open, r.n_guessed) for r in restored_documents(table(spark, corpus + [(99, "x zq�����vw y")])).collect()}
+    assert got == {99: ("x zq�����vw y", 1, 0)}
+
+
 def test_path_prefers_text_as_it_stands():
     weak = [{"pos": 0, "options": [{"pair": "a", "gain": 3.0, "reading": "x"}]}]
     assert best_path(weak) == (0.0, {})

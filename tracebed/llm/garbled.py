@@ -28,6 +28,10 @@ UNSEEN = 0.02
 UTF8_GAIN = 1.5
 #: readings of a piece worth keeping for the search
 KEEP_GAIN = 1.0
+#: different pieces that one task reads in all ways
+READ_ROWS = 2000
+#: ways the search inside a piece keeps to each byte where lost bytes leave several
+LIST = 128
 
 # fixed values: encodings texts are written in and read in by mistake
 READERS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r", "iso8859_2", "iso8859_15", "iso8859_5", "iso8859_7", "iso8859_9", "cp1256", "cp1258", "cp858", "mac_latin2", "gb18030", "big5", "cp932", "cp949")
@@ -60,15 +64,90 @@ def _to_byte(encoding: str) -> dict[str, bytes]:
     return table
 
 
-def _bytes_of(piece: str, reader: str) -> bytes | None:
-    """The bytes that the reader took for this piece, None if it can't have."""
+@lru_cache(maxsize=64)
+def _open_bytes(encoding: str) -> frozenset[int]:
+    """The bytes that are lost when read in this encoding: those it leaves open; of encodings with several bytes a character any high one may be."""
+    if not _to_byte(encoding):
+        return frozenset(range(0x80, 0x100))
+    lost = set()
+    for i in range(0x80, 0x100):
+        try:
+            bytes([i]).decode(encoding)
+        except UnicodeDecodeError:
+            lost.add(i)
+    return frozenset(lost)
+
+
+def _bytes_of(piece: str, reader: str) -> list[int | None] | None:
+    """The bytes that the reader took for this piece, None for each lost one; None if it can't have been read so."""
     table = _to_byte(reader)
+    if LOST in piece and not _open_bytes(reader):
+        return None
+    out: list[int | None] = []
     try:
-        if table:
-            return b"".join(table[c] for c in piece)
-        return piece.encode(reader)
+        for i, part in enumerate(piece.split(LOST)):
+            out += [None] * (i > 0)
+            out += b"".join(table[c] for c in part) if table else part.encode(reader)
     except (KeyError, UnicodeEncodeError):
         return None
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def _follows(before: str, c: str) -> bool:
+    """Whether a character that fills lost bytes may stand behind another: of one script, and no capital behind a small letter."""
+    return not (before.islower() and c.isupper()) and _plausible(before + c)
+
+
+class Alphabet:
+    """Characters of the corpus with their counts, by which open bytes of UTF-8 are filled."""
+
+    def __init__(self, counts: dict[str, float]):
+        self.weight = {c: math.log(n) for c, n in counts.items()}
+        self.by_length: dict[int, list[tuple[bytes, str]]] = {}
+        for c in counts:
+            data = c.encode("utf-8", "surrogatepass")
+            self.by_length.setdefault(len(data), []).append((data, c))
+        self.known: dict[tuple, list[tuple[float, str]]] = {}
+
+    def edges(self, pattern: tuple[int | None, ...], lost: frozenset[int]) -> list[tuple[float, str]]:
+        """(weight, character) of all characters whose bytes these are, lost ones left open."""
+        if None not in pattern:
+            try:
+                c = bytes(pattern).decode("utf-8")
+            except UnicodeDecodeError:
+                return []
+            return [(self.weight.get(c, -1.0), c)] if len(c) == 1 else []
+        key = (pattern, lost)
+        if key not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            fits = lambda data: all(b == p if p is not None else b in lost for b, p in zip(data, pattern))
+            self.known[key] = [(self.weight[c], c) for data, c in self.by_length.get(len(pattern), []) if fits(data)]
+        return self.known[key]
+
+    def readings(self, data: list[int | None], lost: frozenset[int]) -> list[str]:
+        """The best readings of a byte lattice as UTF-8: Viterbi from byte to byte, keeping the LIST likeliest ways to each place.
+
+        Without lost bytes there is one way at most.
+        """
+        ways: list[list[tuple[float, str]]] = [[] for _ in range(len(data) + 1)]
+        ways[0] = [(0.0, "")]
+        for i in range(len(data)):
+            here = ways[i] = ways[i] if len(ways[i]) <= LIST else sorted(ways[i], reverse=True)[:LIST]
+            first = data[i]
+            lengths = range(2, 5) if first is None else (1,) if first < 0x80 else (2,) if 0xC2 <= first < 0xE0 else (3,) if 0xE0 <= first < 0xF0 else (4,) if 0xF0 <= first < 0xF5 else ()
+            for n in lengths if here else ():
+                if i + n <= len(data):
+                    pattern = tuple(data[i : i + n])
+                    for w, c in self.edges(pattern, lost):
+                        ways[i + n] += [(v + w, t + c) for v, t in here if None not in pattern or _follows(t[-1:], c)]
+        return [t for _, t in sorted(ways[-1], reverse=True)[:LIST]]
+
+
+@lru_cache(maxsize=1)
+def _any_alphabet() -> Alphabet:
+    return Alphabet({chr(c): 1.0 for c in range(0x80, 0x3000)})
 
 
 def _plausible(text: str) -> bool:
@@ -95,45 +174,26 @@ def _lettered(text: str) -> bool:
     return 3 * sum(c.isalpha() for c in beyond) >= 2 * len(beyond)
 
 
-def _utf8_readings(piece: str, depth: int = 2) -> dict[str, str]:
-    """Readings as UTF-8 text misread once, or twice (each level through one reader): reading -> pair."""
+def _utf8_readings(piece: str, alphabet: Alphabet, depth: int = 2) -> dict[str, str]:
+    """Readings as UTF-8 text misread once, or twice (each level through one reader): reading -> pair. Lost bytes stay open."""
     out: dict[str, str] = {}
     for reader in READERS:
-        options = [piece]
-        if LOST in piece:
-            if piece.count(LOST) > 1 or depth < 2:
-                continue
-            options = []
-            at = piece.index(LOST)
-            head, tail = _bytes_of(piece[:at], reader), _bytes_of(piece[at + 1 :], reader)
-            if head is None or tail is None:
-                continue
-            # a lost byte stays open: any continuation byte may stand there
-            for b in range(0x80, 0xC0):
-                try:
-                    out.setdefault((head + bytes([b]) + tail).decode("utf-8"), f"{reader}>utf-8")
-                except UnicodeDecodeError:
-                    pass
+        data = _bytes_of(piece, reader)
+        if data is None:
             continue
-        for text in options:
-            data = _bytes_of(text, reader)
-            if data is None:
-                continue
-            try:
-                read = data.decode("utf-8")
-            except UnicodeDecodeError:
+        for read in alphabet.readings(data, _open_bytes(reader)):
+            if read == piece:
                 continue
-            if read != text:
-                out.setdefault(read, f"{reader}>utf-8")
-                if depth > 1 and any(ord(c) > 127 for c in read):
-                    for again, pair in _utf8_readings(read, depth - 1).items():
-                        out.setdefault(again, f"{reader}>utf-8 {pair}")
+            out.setdefault(read, f"{reader}>utf-8")
+            if depth > 1 and any(ord(c) > 127 for c in read):
+                for again, pair in _utf8_readings(read, alphabet, depth - 1).items():
+                    out.setdefault(again, f"{reader}>utf-8 {pair}")
     return out
 
 
-def readings(piece: str) -> list[tuple[str, str]]:
+def readings(piece: str, alphabet: Alphabet | None = None) -> list[tuple[str, str]]:
     """(pair, reading) of everything a piece may have been, each reading once."""
-    found = {r: p for r, p in _utf8_readings(piece).items() if _plausible(r)}
+    found = {r: p for r, p in _utf8_readings(piece, alphabet or _any_alphabet()).items() if _plausible(r)}
     if LOST not in piece:
         odd = not _sound(piece)
         for reader in LEGACY_READERS:
@@ -144,7 +204,7 @@ def readings(piece: str) -> list[tuple[str, str]]:
                 if writer == reader or (reader, writer) == ("latin-1", "cp1252") and not odd:
                     continue
                 try:
-                    read = data.decode(writer)
+                    read = bytes(data).decode(writer)
                 except UnicodeDecodeError:
                     continue
                 if read != piece and read not in found and (odd or _lettered(read)) and _plausible(read):
@@ -178,12 +238,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts.select(F.explode(words).alias("word"), "copies").groupBy("word").agg(F.sum("copies").alias("n"), F.count("*").alias("m"))
 
 
-def _with_readings(pieces: DataFrame) -> DataFrame:
+def corpus_alphabet(counts: DataFrame) -> dict[str, float]:
+    """Characters beyond ASCII of the corpus' words with their counts, capitals as a twentieth of small letters.
+
+    There are no more than Unicode has, which bounds what the driver sees.
+    """
+    chars = counts.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "m").where(F.col("c").rlike(r"^[^\x00-\x7F]$") & (F.col("c") != LOST))
+    small = {r["c"]: float(r["n"]) for r in chars.groupBy("c").agg(F.sum("m").alias("n")).collect()}
+    return {c.upper(): n / 20 for c, n in small.items() if len(c.upper()) == 1 and c.upper() != c} | small
+
+
+def _with_readings(pieces: DataFrame, characters: dict[str, float]) -> DataFrame:
     """piece, pair, reading, words; the piece itself comes with an empty pair."""
+    shared = pieces.sparkSession.sparkContext.broadcast(characters)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet = Alphabet(shared.value)
         for batch in batches:
-            rows = [(p, pair, r, _words(r)) for p in batch.column(0).to_pylist() for pair, r in [("", p), *readings(p)]]
+            rows = [(p, pair, r, _words(r)) for p in batch.column(0).to_pylist() for pair, r in [("", p), *readings(p, alphabet)]]
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["piece", "pair", "reading", "words"])
@@ -191,7 +263,7 @@ def _with_readings(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(read, "piece string, pair string, reading string, words array<string>")
 
 
-def odd_pieces(pieces: DataFrame, counts: DataFrame, n_docs: int, n_texts: int) -> DataFrame:
+def odd_pieces(pieces: DataFrame, counts: DataFrame, n_docs: int, n_texts: int, scratch: Scratch) -> DataFrame:
     """piece, options (pair, gain, reading): pieces that read better some other way, by the corpus' word frequencies.
 
     The log-probability of a reading is the sum over its words; gain is what it wins over the piece as it stands.
@@ -199,13 +271,15 @@ def odd_pieces(pieces: DataFrame, counts: DataFrame, n_docs: int, n_texts: int)
     would else vote for its own garbage with every copy.
     """
     odds = lambda c, of: F.sum(F.when(F.col(c).isNull(), F.log(F.lit(UNSEEN / of)) - F.length("word") + 1).otherwise(F.log(F.col(c) / of)))
-    distinct = pieces.select("piece").distinct()
-    read = _with_readings(distinct)
-    scored = (
+    # few rows, each with much work: spread by number of rows, not by bytes
+    distinct = scratch.keep(pieces.select("piece").distinct(), "distinct")
+    read = _with_readings(distinct.repartition(max(1, -(-distinct.count() // READ_ROWS))), corpus_alphabet(counts))
+    scored = scratch.keep(
         read.select("piece", "pair", "reading", F.explode_outer("words").alias("word"))
         .join(counts, "word", "left")
         .groupBy("piece", "pair", "reading")
-        .agg(odds("n", n_docs).alias("p"), odds("m", n_texts).alias("q"), F.count_if(F.col("n").isNull() & F.col("word").isNotNull()).alias("unseen"))
+        .agg(odds("n", n_docs).alias("p"), odds("m", n_texts).alias("q"), F.count_if(F.col("n").isNull() & F.col("word").isNotNull()).alias("unseen")),
+        "scored",
     )
     own = scored.where("pair = ''").select("piece", F.col("p").alias("own"), F.least("p", "q").alias("own_once"))
     gain = F.col("p") - F.col("own")
@@ -214,8 +288,8 @@ def odd_pieces(pieces: DataFrame, counts: DataFrame, n_docs: int, n_texts: int)
     gain = F.when(F.endswith("pair", F.lit(">utf-8")), F.col("p") - F.col("own_once") + UTF8_GAIN * formed).otherwise(gain)
     # a single sign for another says little, whatever it would win
     gain = F.when(F.length("piece") < 2, F.least(gain, F.lit(3.0))).otherwise(gain)
-    # a reading between two single-byte encodings always exists: only one made of words the corpus holds says anything
-    options = scored.where("pair <> '' and (unseen = 0 or endswith(pair, '>utf-8'))").join(own, "piece").select("piece", F.struct("pair", gain.alias("gain"), "reading").alias("o")).where(F.col("o.gain") > KEEP_GAIN)
+    # a reading between two single-byte encodings, or of lost bytes, always exists: only one made of words the corpus holds says anything
+    options = scored.where((F.col("pair") != "") & ((F.col("unseen") == 0) | F.endswith("pair", F.lit(">utf-8")) & ~F.contains("piece", F.lit(LOST)))).join(own, "piece").select("piece", F.struct("pair", gain.alias("gain"), "reading").alias("o")).where(F.col("o.gain") > KEEP_GAIN)
     return options.groupBy("piece").agg(F.array_sort(F.collect_list("o")).alias("options"))
 
 
@@ -259,17 +333,17 @@ def best_path(places: list[dict]) -> tuple[float, dict[int, str]]:
 
 
 def damaged_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, changes (pos, piece, reading; reading null where it can't be had) of each document with a damaged passage.
+    """doc_id, changes (pos, piece, reading; reading null where it can't be had) of each document with a damaged passage, one for each piece.
 
-    A document that holds U+FFFD has lost bytes and counts as damaged; its pieces are restored where one word of the
-    corpus has their shape. Null and empty texts are never damaged; repeated rows count once.
+    A document that holds U+FFFD has lost bytes and counts as damaged; pieces that the search leaves as they are get the
+    corpus' likeliest word of their shape. Null and empty texts are never damaged; repeated rows count once.
     """
     scratch = scratch or Scratch(docs.sparkSession, "garbled")
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     pieces = scratch.keep(pieces_of(docs).distinct(), "pieces")
     counts = scratch.keep(word_counts(docs), "counts")
     n_docs, n_texts = docs.agg(F.count("*"), F.count_distinct(F.sha2("text", 256))).first()
-    odd = odd_pieces(pieces, counts, max(n_docs, 1), max(n_texts, 1))
+    odd = odd_pieces(pieces, counts, max(n_docs, 1), max(n_texts, 1), scratch)
     places = pieces.join(odd, "piece").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "options"))).alias("places"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +358,8 @@ def damaged_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(changes, pa.list_(change))], names=["doc_id", "changes"])
 
     kind = "array<struct<pos: int, piece: string, reading: string>>"
-    read = places.select(F.col("doc_id").cast("long").alias("doc_id"), "places").mapInArrow(search, f"doc_id bigint, changes {kind}")
+    read = scratch.keep(places.select(F.col("doc_id").cast("long").alias("doc_id"), "places").mapInArrow(search, f"doc_id bigint, changes {kind}"), "read")
+    changes = read.select("doc_id", F.explode("changes").alias("c")).select("doc_id", "c.pos", "c.piece", "c.reading")
 
     # lost bytes: the likeliest word of the shape that is left
     shapes = counts.where(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").contains(LOST)).select(lost_shape(F.col("word")).alias("shape"), "word", "n")
@@ -292,23 +367,25 @@ def damaged_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFr
     lost = pieces.where(F.col("piece").contains(LOST))
     # the table holds small letters: a capital that was not lost stays
     spelt = F.when(F.col("piece").rlike("^[A-Z]"), F.concat(F.substring("piece", 1, 1), F.substr("word", F.lit(2)))).otherwise(F.col("word"))
-    holes = lost.join(likely, F.lower("piece") == F.col("shape"), "left").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "piece", spelt.alias("reading")))).alias("changes")
-    )
-    both = read.unionByName(holes.select("doc_id", F.col("changes").cast(kind).alias("changes")))
-    return both.groupBy("doc_id").agg(F.flatten(F.collect_list("changes")).alias("changes"))
+    holes = lost.join(likely, F.lower("piece") == F.col("shape"), "left").select(F.col("doc_id").cast("long").alias("doc_id"), "pos", "piece", spelt.alias("reading"))
+    both = changes.unionByName(holes.join(changes.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti"))
+    return both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "reading"))).alias("changes"))
 
 
 def restored_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, restored, n_open: the texts of damaged documents with every passage restored that can be, and how many pieces stay open."""
+    """doc_id, restored, n_open, n_guessed: the texts of damaged documents with every passage restored that can be.
+
+    n_open counts the pieces whose bytes are lost in part, so that nothing can prove what stood there; n_guessed those of
+    them for which the likeliest reading has been put in, the others stand as they were.
+    """
     scratch = Scratch(docs.sparkSession, "garbled")
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
     damaged = damaged_documents(docs, scratch)
     known = F.filter("changes", lambda c: c["reading"].isNotNull())
-    both = docs.join(damaged, "doc_id").select("doc_id", "text", F.map_from_entries(F.array_distinct(F.transform(known, lambda c: F.struct(c["pos"], c["reading"])))).alias("new"), F.size("changes").alias("n"))
+    both = docs.join(damaged, "doc_id").select("doc_id", "text", F.map_from_entries(F.array_distinct(F.transform(known, lambda c: F.struct(c["pos"], c["reading"])))).alias("new"), F.filter("changes", lambda c: F.contains(c["piece"], F.lit(LOST))).alias("lost"))
     # the text between pieces, the pieces and their readings zipped back together
     gaps = F.split("text", PIECE, -1)
     old = F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))
     pieces = F.transform(old, lambda p, i: F.coalesce(F.try_element_at("new", i), p))
     woven = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(pieces, i), F.lit(""))))
-    return both.select("doc_id", F.array_join(woven, "").alias("restored"), (F.col("n") - F.size("new")).alias("n_open"))
+    return both.select("doc_id", F.array_join(woven, "").alias("restored"), F.size("lost").alias("n_open"), F.size(F.filter("lost", lambda c: c["reading"].isNotNull())).alias("n_guessed"))
