@@ -58,3 +58,14 @@ def test_dirty_and_empty(spark):
     assert {r.doc_id for r in mixture(table, targets).collect()} == {1, 2, 3}
     assert mixture(table.limit(0), targets).count() == 0 and mixture(table, targets.limit(0)).count() == 0
     assert mixture_shares(table.limit(0), targets).count() == 0
+
+
+def test_running_sums_are_exact_where_doubles_end(spark):
+    from tracebed.llm.mixing import _copies
+    from tracebed.session import Scratch
+
+    # a goal of 2**53 + 1 tokens of as many: each document once, whatever the offset
+    big = 2**53 + 1
+    sized = spark.createDataFrame([(i, "a", 1) for i in range(50)], "doc_id bigint, source string, n_tokens bigint")
+    rates = spark.createDataFrame([("a", big, big)], "source string, goal bigint, own_tokens bigint")
+    assert sorted(r.doc_id for r in _copies(sized, rates, 7, Scratch(spark, "t")).collect()) == list(range(50))

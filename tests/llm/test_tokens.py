@@ -3,7 +3,8 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from tracebed.llm.tokens import PrefixEncoder, default_vocabulary, encode_texts, update_texts
+from tracebed.llm.tokens import PrefixEncoder, appended_ids, default_vocabulary, encode_texts, update_texts
+from tracebed.session import Scratch
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TEXTS = [
@@ -65,3 +66,18 @@ def test_update_of_stored_tables(spark, reference):
     got = update_texts(stored, spark.createDataFrame(list(changed.items()), "doc_id bigint, text string")).collect()
     assert {r.doc_id: list(r.ids) for r in got} == {k: reference(v) for k, v in changed.items()}
     assert all(len(r.prefix_tokens) == len(changed[r.doc_id].encode()) for r in got)
+
+
+def test_appended_texts_go_on_from_stored_prefixes(spark, reference):
+    rows = [(i, t, r) for i, (t, r) in enumerate([(None, None), ("", "a"), ("it'", None), ("x  ", "core-api"), ("naïve 漢字", "é")])]
+    docs = spark.createDataFrame(rows + rows[-1:] + [(None, "x", "y")], "doc_id bigint, text string, repo string")
+    got = appended_ids(docs, Scratch(spark, "t")).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {i: reference(f"{t or ''}\n{r or ''}") for i, t, r in rows} and len(got) == len(rows)
+    assert appended_ids(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_no_token_is_missed_behind_a_long_stored_prefix(encoder):
+    word = "a" * 3 + "=" * (encoder.longest + 7)
+    for cut in (1, encoder.longest - 1, encoder.longest, len(word) - 1):
+        table, ids = encoder.updated(word[:cut], encoder.table(word[:cut]), word)
+        assert ids == encoder.encode(word) and table == encoder.table(word)

@@ -28,7 +28,7 @@ def sized_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame
 
 
 def copy_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, rate (expected copies of each document), target_share, own_tokens, total.
+    """source, goal (tokens in the mixture), rate (goal / own_tokens: expected copies of each document), target_share, own_tokens, total.
 
     Targets are weighed against each other (they need not sum to 1). The mixture is as large as the target sources
     are together; where a source's cap keeps it under its share, what is missing goes to the other sources in
@@ -54,10 +54,11 @@ def copy_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     # the level is that of the first source which doesn't fill up at its own level; none: all are full
     s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "source", "level"))).over(everything)["level"])
     size = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap").cast("double"), F.col("share") * F.col("level")))
-    return s.select("source", (size / F.col("own_tokens")).alias("rate"), F.col("share").alias("target_share"), F.col("r").alias("max_repeats"), "own_tokens", "total")
+    s = s.withColumn("goal", F.round(size).cast("bigint"))
+    return s.select("source", "goal", (F.col("goal") / F.col("own_tokens")).alias("rate"), F.col("share").alias("target_share"), F.col("r").alias("max_repeats"), "own_tokens", "total")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens, copy_no (from 1): the documents of the mixture, one row for each copy.
 
     Within a source, documents are ordered by size class and then by a seeded hash, so that every stretch of the
@@ -67,15 +68,18 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
     not mixed in; empty texts have copies of size 0. Sums run in blocks, so a source with a third of all rows is as
     parallel as any other.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "mixing")
+    scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.keep(sized_documents(docs, vocabulary), "sizes")
-    rates = scratch.keep(copy_rates(sized, targets), "rates")
+    return _copies(sized, scratch.keep(copy_rates(sized, targets), "rates"), seed, scratch)
+
+
+def _copies(sized: DataFrame, rates: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     h = F.xxhash64(F.lit(seed), "doc_id")
     keyed = sized.withColumn("class", F.floor(4 * F.log2(F.col("n_tokens") + 1)).cast("int")).withColumn("h", h)
     strata = keyed.groupBy("source", "class").agg(F.count("*").alias("n")).select("source", "class", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = keyed.join(rates.select("source", "rate"), "source").join(strata, ["source", "class"])
+    rows = keyed.join(rates.select("source", "goal", "own_tokens"), "source").join(strata, ["source", "class"])
     unit = (F.shiftrightunsigned(F.col("h"), 11)) / F.lit(float(1 << 53))
-    rows = rows.withColumn("block", F.floor(unit * F.col("blocks")).cast("int")).select("doc_id", "source", "n_tokens", "rate", "class", "block", "h")
+    rows = rows.withColumn("block", F.floor(unit * F.col("blocks")).cast("int")).select("doc_id", "source", "n_tokens", "goal", "own_tokens", "class", "block", "h")
     rows = scratch.keep(rows, "blocks")
     order = Window.partitionBy("source").orderBy("class", "block")
     starts = (
@@ -85,26 +89,23 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
     )
     within = F.row_number().over(Window.partitionBy("source", "class", "block").orderBy("h", "doc_id"))
     placed = rows.withColumn("k", within).join(starts, ["source", "class", "block"]).withColumn("k", F.col("k") + F.col("before"))
-    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), 11) / F.lit(float(1 << 53))
-    # all documents of a source have one rate, so the running sum is rate * k; a rate at its cap stays a whole number
-    upto = lambda k: F.floor(F.round(F.col("rate") * k, 9) + offset)
-    copies = upto(F.col("k")) - upto(F.col("k") - 1)
+    # the running sum of expected copies is goal * k / own_tokens, kept as a fraction: whole numbers, exact at any size
+    offset = F.floor(F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("offset"), "source"), 11) / F.lit(float(1 << 53)) * F.col("own_tokens"))
+    placed = placed.withColumn("offset", offset)
+    upto = lambda k: F.expr(f"(cast(goal as decimal(19, 0)) * cast({k} as decimal(18, 0)) + offset) div own_tokens")
+    copies = upto("k") - upto("(k - 1)")
     return placed.select("doc_id", "source", "n_tokens", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))).alias("copy_no"))
 
 
 def mixture_shares(docs: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str | None = None) -> DataFrame:
     """One row for each mixed source: target_share, actual_share, n_copies, n_docs, tokens, own_tokens, rate, max_copies."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    mixed = scratch.keep(mixture(docs, targets, seed, vocabulary, scratch), "mixture")
+    sized = scratch.keep(sized_documents(docs, vocabulary), "sizes")
+    rates = scratch.keep(copy_rates(sized, targets), "rates")
+    mixed = scratch.keep(_copies(sized, rates, seed, scratch), "mixture")
     got = mixed.groupBy("source").agg(
         F.count("*").alias("n_copies"), F.sum((F.col("copy_no") == 1).cast("long")).alias("n_docs"), F.sum("n_tokens").alias("tokens"), F.max("copy_no").alias("max_copies")
     )
-    rates = copy_rates(sized_from(scratch), targets)
     out = rates.join(got, "source", "left").fillna(0, ["n_copies", "n_docs", "tokens", "max_copies"])
     share = F.round(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), 6)
     return out.select("source", F.round("target_share", 6).alias("target_share"), share.alias("actual_share"), "n_copies", "n_docs", "tokens", "own_tokens", F.round("rate", 6).alias("rate"), "max_copies")
-
-
-def sized_from(scratch: Scratch) -> DataFrame:
-    """The sizes that a mixture in this scratch has written already."""
-    return scratch.spark.read.parquet(scratch.path("0001-sizes"))

@@ -7,7 +7,8 @@ from tracebed.llm.garbled import damaged_documents, restored_documents
 from tracebed.llm.mixing import mixture, mixture_shares
 from tracebed.llm.secrets import credential_lines, redacted_texts
 from tracebed.llm.spans import shared_lines, shared_share
-from tracebed.llm.tokens import encode_texts
+from tracebed.llm.tokens import appended_ids, encode_texts
+from tracebed.session import Scratch
 from tracebed.sources.tables import table
 
 
@@ -35,6 +36,10 @@ def p6_ids(spark, d):
     return encode_texts(table(spark, d, "documents"))
 
 
+def p6_updated(spark, d):
+    return appended_ids(table(spark, d, "documents"), Scratch(spark, "updates"))
+
+
 def p7_shares(spark, d):
     return mixture_shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -51,7 +56,7 @@ def p8_restored(spark, d):
     return restored_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p5_found, p5_share, p6_ids, p7_mixture, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_redacted, p5_found, p5_share, p6_ids, p6_updated, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 _SPAN = """
 with lines as (

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracebed.session import Scratch
+
 #: bytes a vocabulary file may have to be sent to the executors; public ones have 1 to 2 MB
 VOCABULARY_BOUND = 16 * 1024 * 1024
 #: entries of a worker's memory of pieces and of token pairs; it is emptied when full, results don't depend on it
@@ -39,6 +41,7 @@ class PrefixEncoder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.size = {i: len(b) for b, i in self.ranks.items()}
         self.bytes = {i: b for b, i in self.ranks.items()}
+        self.longest = max(self.size.values(), default=1)
         self.pattern = regex.compile(pattern)
         self.suffixes = ahocorasick.Automaton()
         for b, i in self.ranks.items():
@@ -76,7 +79,7 @@ class PrefixEncoder:
         start = len(stored)
         lasts += [-1] * (len(piece) - start)
         # a token that ends behind the stored part can begin at most its own length before it
-        skip = max(0, start - 256)
+        skip = max(0, start - self.longest)
         done = start
         for end, token in self.suffixes.iter(piece[skip:].decode("latin-1")):
             i = skip + end + 1
@@ -112,7 +115,7 @@ class PrefixEncoder:
 
     def table(self, text: str | None) -> list[int]:
         """The prefix tokens of a text, piece after piece: one for each byte."""
-        return [t for piece in self.pattern.findall(text or "") for t in self.prefixes(piece.encode())]
+        return [t for piece in self.pattern.findall(text or "") for t in self.prefixes(piece.encode("utf-8", "surrogatepass"))]
 
     def updated(self, old: str | None, table: list[int], new: str | None) -> tuple[list[int], list[int]]:
         """(prefix tokens, ids) of ``new``, from those of ``old``; only bytes from the first change of a piece on are computed.
@@ -120,8 +123,8 @@ class PrefixEncoder:
         Splitting is cheap and done anew, so pieces that an append joins or parts differently come out right; equal
         pieces at either end keep their prefixes, and the first changed piece keeps those of its common bytes.
         """
-        a = [p.encode() for p in self.pattern.findall(old or "")]
-        b = [p.encode() for p in self.pattern.findall(new or "")]
+        a = [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(old or "")]
+        b = [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(new or "")]
         head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         tail = next((i for i, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1])) if x != y), min(len(a), len(b)) - head)
         cut = sum(map(len, a[:head]))
@@ -207,3 +210,15 @@ def update_texts(stored: DataFrame, changed: DataFrame, id_col: str = "doc_id",
     old = stored.select(id_col, F.col("text").alias("old_text"), "prefix_tokens")
     joined = changed.select(id_col, F.col("text").alias("new_text")).join(old, id_col, "left")
     return joined.select(id_col, "old_text", "prefix_tokens", "new_text").mapInArrow(update, f"`{id_col}` {id_type}, ids array<int>, prefix_tokens array<int>")
+
+
+def appended_ids(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None) -> DataFrame:
+    """doc_id and ids of each text with its repository's name appended on a line of its own, gone on with from the text's stored prefixes.
+
+    A null text or name counts as empty; repeated rows count once.
+    """
+    once = docs.select("doc_id", "text", "repo").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("text", "repo")).alias("v")).select("doc_id", "v.text", "v.repo")
+    once = scratch.keep(once, "texts")
+    stored = scratch.keep(encode_texts(once, vocabulary=vocabulary, with_prefixes=True).drop("ids"), "prefixes").join(once.select("doc_id", "text"), "doc_id")
+    changed = once.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce("repo", F.lit(""))).alias("text"))
+    return update_texts(stored, changed, vocabulary=vocabulary).select("doc_id", "ids")
