@@ -12,7 +12,7 @@ from tracebed.sources import reports
 SCAN = (
     "finding_no bigint, project string, tool string, rule_id string, category string, severity string, confidence string, precision_level string, cwe array<string>, file string, start_line int, end_line int, "
     "message string, code_snippet string, normalized_type string, fingerprint string, semantic_fingerprint string, detected_by array<string>, suppressed boolean, source_kind string, sink_kind string, endpoint string, "
-    "http_method string, reachable boolean, authentication_required boolean, internet_exposed boolean, exploitability_score double, confidence_score double, correlation_score double, secret_related_locations array<string>"
+    "http_method string, reachable boolean, authentication_required boolean, internet_exposed boolean, exploitability_score double, confidence_score double, correlation_score double, lifecycle_status string, secret_related_locations array<string>"
 )
 NAMES = [f.split()[0] for f in SCAN.split(", ")]
 
@@ -34,7 +34,7 @@ def test_all_null_row_and_empty_table_survive_every_operator(spark):
         n = table.distinct().count()
         assert findings.position_fingerprint(table).count() == n
         assert findings.semantic_identity(table).count() == n
-        assert findings.precision_gate(table).where("kept").count() == 0
+        assert findings.precision_gate(table).where("kept").count() == n
         assert findings.merged_findings(table).count() == n
         assert findings.numbered(table).count() == n
         assert flows.flow_matches(table, [flows.FlowQuery("q")]).count() == 0
@@ -42,16 +42,121 @@ def test_all_null_row_and_empty_table_survive_every_operator(spark):
         assert flows.secret_clusters(table).count() == 0
 
 
-def test_gate_needs_corroboration(spark):
-    table = scan(spark, {"finding_no": 1, "precision_level": "medium"}, {"finding_no": 2, "precision_level": "MEDIUM ", "detected_by": ["a", "b"]}, {"finding_no": 3, "precision_level": "MEDIUM", "correlation_score": 0.85}, {"finding_no": 4, "precision_level": "HIGH"})
-    assert {r.finding_no for r in findings.precision_gate(table).where("kept").collect()} == {2, 3, 4}
-    assert {r.finding_no for r in findings.precision_gate(table, "strict").where("kept").collect()} == set()
-
-
-def test_suppression_first_entry_wins_and_expires_after_its_day(spark):
-    table = scan(spark, {"finding_no": 1, "rule_id": "r", "file": "a/b.py"}, {"finding_no": 2, "rule_id": "s", "file": "a/b.py"}, {"finding_no": 3})
-    entries = [{"reason": "old", "path": "*", "expires": "2025-12-31"}, {"reason": "rule", "rule": "r", "expires": "2026-01-01"}, {"reason": "path", "path": "a/*.py"}]
-    assert {(r.finding_no, r.reason) for r in findings.suppressed_by(table, entries, "2026-01-01").collect()} == {(1, "rule"), (2, "path")}
+def test_gates_of_the_profiles(spark):
+    rows = [
+        {"tool": "x", "precision_level": "MEDIUM", "confidence": "LOW"},
+        {"tool": "our-engine", "precision_level": "HIGH", "confidence": "low "},
+        {"tool": "our-engine", "precision_level": "HIGH", "confidence": "LOW", "correlation_score": 0.85},
+        {"tool": "x", "precision_level": "experimental", "confidence": "HIGH"},
+        {"tool": "x", "precision_level": "EXPERIMENTAL", "confidence": "HIGH", "detected_by": ["a", "b"]},
+        {"tool": "x", "precision_level": "HIGH", "confidence": "HIGH", "detected_by": ["a", "b"]},
+        {"tool": "x", "precision_level": "HIGH", "confidence": "MEDIUM", "detected_by": ["a", "b"]},
+        {"tool": "x", "precision_level": "VERY_HIGH", "confidence": "LOW", "detected_by": ["a", "a"]},
+        {},
+    ]
+    table = scan(spark, *({"finding_no": i, **r} for i, r in enumerate(rows)))
+    kept = lambda profile: {r.finding_no for r in findings.precision_gate(table, profile).where("kept").collect()}
+    assert kept("smart") == {0, 2, 4, 5, 6, 7, 8} and kept("audit") == {0, 1, 2, 4, 5, 6, 7, 8} and kept("strict") == {5, 7} and len(kept("experimental")) == 9
+
+
+def test_suppression_order_scope_and_fingerprints(spark):
+    table = scan(
+        spark,
+        {"finding_no": 1, "rule_id": "r", "file": "a/b.py", "fingerprint": "sha256:f1"},
+        {"finding_no": 2, "rule_id": "s", "file": "a/b.py", "semantic_fingerprint": "s2"},
+        {"finding_no": 3, "rule_id": "g", "file": "a/b.py"},
+        {"finding_no": 4, "rule_id": "q", "file": "c.py"},
+        {"finding_no": 5},
+    )
+    entries = [
+        {"reason": "old", "rule": "r", "expires": "2025-12-31"}, {"reason": "path alone never matches", "path": "*"}, {"reason": "rule", "rule": "r", "path": "a/*", "expires": "2026-01-01", "approved_by": "me"},
+        {"fingerprint": "sha256:s2"}, {"reason": "wrong path", "rule": "q", "path": "a/*"},
+    ]
+    got = lambda **k: {(r.finding_no, r.reason) for r in findings.suppressed_by(table, entries, "2026-01-01", **k).collect()}
+    assert got() == {(1, "rule (approved by me)"), (2, "scoped suppression")}
+    assert got(fingerprints=("f1",), rules=("g", "r")) == {(1, "fingerprint"), (2, "scoped suppression"), (3, "rule")}
+
+
+def test_policies_and_failing_severities(spark):
+    rows = [("HIGH", "security", "a/x.py", None), ("low", "security", "a/x.py", None), ("CRITICAL", "secret", "b.py", False), ("HIGH", "security", "a/y.py", True), (None, "secret", None, None)]
+    table = scan(spark, *({"finding_no": i, "severity": s, "category": c, "file": f, "suppressed": x} for i, (s, c, f, x) in enumerate(rows)))
+    got = findings.policy_violations(table, [findings.Policy("p", "MEDIUM", ("security",), "a/*"), findings.Policy("q", "INFO", ("secret", "security"))]).collect()
+    assert {(r.policy, r.finding_no) for r in got} == {("p", 0), ("q", 0), ("q", 1), ("q", 2)}
+    assert {r.finding_no for r in findings.failing(table, "high").collect()} == {0, 2}
+    with pytest.raises(ValueError):
+        findings.failing(table, "worst")
+
+
+def test_risk_is_a_whole_number_and_unknown_confidence_counts_less(spark):
+    from tracebed.operators import metrics
+
+    table = scan(spark, *({"finding_no": i, "project": p, "severity": "LOW", "category": "security", "confidence_score": c, "confidence": k} for i, (p, c, k) in enumerate([("a", 1.0, None), ("b", None, "?"), *[("c", 1.0, None)] * 9])))
+    got = {r.project: (r.raw, r.risk, r.band) for r in metrics.risk_by_project(table).collect()}
+    # 19.4 of 100 rounds to 19, which is LOW still
+    assert got["a"] == (1.0, 2, "LOW") and got["b"] == (0.85, 2, "LOW") and got["c"] == (9.0, 20, "MODERATE")
+    roots = scan(spark, {"finding_no": 1, "file": "x.py", "severity": "LOW"}, {"finding_no": 2, "file": "a/x.py", "severity": "LOW"})
+    assert {r.place for r in metrics.hotspots(roots).where("kind = 'folder'").collect()} == {"(root)/", "a/"}
+
+
+def test_numbers_that_need_names(spark):
+    lines = ["a(100, 0xFF, 300)", "a(100, 200)", "x1000 v1.200 .300 000 0x1 001", "f(100,200,300,4)"]
+    files = spark.createDataFrame([(1, lines, "p")], "file_no bigint, lines array<string>, path string").selectExpr("*", "cast(null as timestamp_ntz) indexed_at")
+    assert {(r.line_no, r.n) for r in code.magic_numbers(files).collect()} == {(1, 3), (4, 3)}
+    sizes = spark.createDataFrame([(i, ["x"] * n) for i, n in enumerate([399, 400, 800])] + [(9, None)], "file_no bigint, lines array<string>").selectExpr("*", "cast(null as timestamp_ntz) indexed_at")
+    assert {(r.file_no, r.severity) for r in code.file_sizes(sizes).collect()} == {(0, None), (1, "LOW"), (2, "HIGH"), (9, None)}
+
+
+INDEX = "snapshot_no int, semantic_fingerprint string, fingerprint string, rule_id string, file string, severity string, last_seen string, active int, at int"
+
+
+def index(spark, rows):
+    return spark.createDataFrame([(n, k, None, "r", f, s, "2026-01-01", a, 9) for n, k, f, s, a in rows], INDEX)
+
+
+def test_history_tells_what_comes_back_from_what_is_new(spark):
+    table = index(spark, [(1, "a", "f", "LOW", 1), (2, "b", "f", "LOW", 1), (4, "a", "f", "LOW", 1), (4, "b", "f", "LOW", 0), (5, "b", "g", "high", 1), (5, "b", "g", "high", 1), (5, None, "f", "LOW", 1)])
+    assert {(r.snapshot_no, r.finding_key, r.status) for r in state.lifecycle(table).collect()} == {
+        (1, "a", "NEW"), (2, "a", "RESOLVED"), (2, "b", "NEW"), (4, "a", "REOPENED"), (4, "b", "RESOLVED"), (5, "a", "RESOLVED"), (5, "b", "REOPENED"),
+    }
+    assert {(r.snapshot_no, r.finding_key, r.change) for r in state.snapshot_diff(table).collect()} == {
+        (2, "a", "removed"), (2, "b", "added"), (4, "a", "added"), (4, "b", "same"), (5, "a", "removed"), (5, "b", "changed"),
+    }
+    assert {(r.snapshot_no, r.status) for r in state.fix_check(table).collect()} == {(2, "VERIFIED_BY_RESCAN"), (4, "VERIFIED_BY_RESCAN"), (5, "REGRESSION_DETECTED")}
+    assert state.lifecycle(table.limit(0)).count() == state.fix_check(table.limit(0)).count() == state.snapshot_diff(table.limit(0)).count() == 0
+
+
+def test_feedback_cascade(spark):
+    rows = [("A ", None, "r", "sql"), (None, "b", "r", "sql"), ("z", None, "r", "sql"), ("y", None, "r", "x"), ("w", None, None, None)]
+    table = scan(spark, *({"finding_no": i, "semantic_fingerprint": s, "fingerprint": f, "rule_id": r, "sink_kind": k} for i, (s, f, r, k) in enumerate(rows))).withColumn("ast_fingerprint", F.when(F.col("finding_no") == 3, "t"))
+    said = [(1, "a", "q", "", "old", None), (2, "A", "q", "", "own", None), (3, "B", "q", "", "by print", None), (4, "", "r", "", "any", "t"), (5, None, "r", "sql", "there", None), (6, None, "r", "other", "elsewhere", "t")]
+    entries = spark.createDataFrame(said, "entry_no int, semantic_fingerprint string, rule_id string, sink_kind string, verdict string, ast_fingerprint string")
+    assert {(r.finding_no, r.weight, r.verdict) for r in state.feedback_match(table, entries).collect()} == {(0, 1.0, "own"), (1, 1.0, "by print"), (2, 0.7, "there"), (3, 0.95, "any")}
+
+
+def test_baseline_by_either_key_and_what_is_gone(spark):
+    table = scan(spark, {"finding_no": 1, "fingerprint": "F"}, {"finding_no": 2, "semantic_fingerprint": "s"}, {"finding_no": 3, "fingerprint": "n"}, {"finding_no": 4})
+    base = spark.createDataFrame([("f", "x"), (None, "S "), ("g", "h"), (None, None)], "fingerprint string, semantic_fingerprint string")
+    got = {(r.finding_no, r.finding_key, r.status) for r in state.baseline_status(table, base).collect()}
+    assert got == {(1, "f", "EXISTING"), (2, "s", "EXISTING"), (3, "n", "NEW"), (4, None, "NEW"), (None, "h", "RESOLVED")}
+
+
+def test_summaries(spark):
+    from tracebed.operators import summary
+
+    table = scan(
+        spark,
+        {"finding_no": 1, "category": "security", "cwe": ["CWE-601", "89"], "severity": "HIGH", "confidence": "HIGH", "message": "m" * 120},
+        {"finding_no": 2, "category": "secret", "cwe": ["CWE-89"], "severity": "CRITICAL", "confidence": "low", "file": "a", "start_line": 3, "rule_id": "*" * 30},
+        {"finding_no": 3, "category": "code_smell", "severity": "MEDIUM", "suppressed": True},
+        {"finding_no": 4, "category": "security", "cwe": ["CWE-798"], "severity": "MEDIUM", "file": "b"},
+        {"finding_no": 5},
+    )
+    assert {(r.name, r.n, r.pct) for r in summary.class_distribution(table).collect()} == {("Injection", 1, 25.0), ("Secrets", 2, 50.0), ("Configuration", 1, 25.0)}
+    shown = {r.finding_no: (r.status, r.title) for r in summary.display(table).collect()}
+    assert shown[1] == ("Needs Review", "m" * 97 + "...") and shown[2] == ("Potential Finding", "*" * 12) and shown[3][0] == "Suppressed" and shown[5][1] == "Finding"
+    assert {(r.finding_no, r.bucket, r.complexity) for r in summary.remediation(table).collect()} == {(1, "immediate", "High"), (2, "immediate", "Low"), (4, "short_term", "Medium"), (5, "planned", "Medium")}
+    assert [(r.finding_no, r.place) for r in summary.quick_wins(table).collect()] == [(2, "a:3"), (4, "b:0")]
+    assert summary.exposure(table).first().n == 4
 
 
 @pytest.mark.parametrize("glob,yes,no", [("*.py", "a/b.py", "a.pyc"), ("a?c", "abc", "ac"), ("[ab]x", "bx", "cx"), ("[!ab]x", "cx", "ax"), ("a.b", "a.b", "axb")])
@@ -110,9 +215,28 @@ def test_near_pairs_count_lines_that_most_files_hold(spark):
 
 
 def test_reached_files_end_on_circles(spark):
-    rows = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "z")]
-    deps = spark.createDataFrame(rows, "file string, depends_on string")
-    assert {(r.file, r.distance) for r in state.reached_files(deps, F.col("file") == "c").collect()} == {("c", 0), ("b", 1), ("a", 2), ("d", 3)}
+    import random
+
+    def reached(rows, seeds):
+        deps = spark.createDataFrame(rows, "file string, depends_on string")
+        got = [(r.file, r.distance) for r in state.reached_files(deps, spark.createDataFrame([(s,) for s in seeds], "file string")).collect()]
+        assert len(got) == len({f for f, _ in got})
+        return dict(got)
+
+    def brute(rows, seeds):
+        out = dict.fromkeys({x for r in rows for x in r} & set(seeds), 0)
+        front, n = set(out), 0
+        while front:
+            n += 1
+            front = {f for f, on in rows if on in front} - set(out)
+            out |= dict.fromkeys(front, n)
+        return out
+
+    assert reached([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "z")], ["c", "nowhere"]) == {"c": 0, "b": 1, "a": 2, "d": 3}
+    rng = random.Random(6)
+    rows = [(f"f{i}", f"f{rng.randint(max(0, i - 5), i + 1)}") for i in range(150)] + [(f"f{rng.randrange(150)}", f"f{rng.randrange(150)}") for _ in range(12)] + [(f"c{i}", f"c{i + 1}") for i in range(60)]
+    rows = [r for r in rows if r[0] != r[1]]
+    assert reached(rows, ["f3", "f70", "c60", "c20"]) == brute(rows, ["f3", "f70", "c60", "c20"])
 
 
 def test_reports_of_tools(spark, tmp_path):
@@ -153,3 +277,13 @@ def test_lifecycle_stream(spark, tmp_path):
         q = stream.writeStream.foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted(out) == [("a", 1, "NEW"), ("a", 2, "RESOLVED"), ("a", 3, "REOPENED"), ("b", 1, "NEW"), ("b", 2, "EXISTING")]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    from tracebed.session import shared_folder
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    with pytest.raises(ValueError):
+        shared_folder(bare)

@@ -17,10 +17,27 @@ EXTENSIONS = {
 }
 
 
+#: file numbers up to which the set of files delivered more than once is broadcast; a larger one is joined by a shuffle
+FEW = 500_000
+
+
 def files_once(source_files: DataFrame, *columns: str) -> DataFrame:
-    """Each file once: of several deliveries the latest indexed_at, ties by the greater content."""
+    """Each file once: of several deliveries the latest indexed_at, ties by the greater content.
+
+    Most files come once. Those that don't are found by their numbers alone, and only their texts are shuffled.
+    """
     wanted = [c for c in dict.fromkeys(columns) if c != "file_no"]
-    return source_files.where("file_no is not null").groupBy("file_no").agg(F.max(F.struct("indexed_at", *wanted)).alias("v")).select("file_no", *(F.col(f"v.{c}").alias(c) for c in wanted))
+    files = source_files.where("file_no is not null").select("file_no", "indexed_at", *(c for c in wanted if c != "indexed_at"))
+    again = files.groupBy("file_no").agg(F.count("*").alias("n")).where("n > 1").select("file_no")
+    if "lines" not in wanted:
+        return _latest(files, wanted)
+    if again.limit(FEW + 1).count() <= FEW:
+        again = F.broadcast(again)
+    return files.join(again, "file_no", "left_anti").select("file_no", *wanted).unionByName(_latest(files.join(again, "file_no", "left_semi"), wanted))
+
+
+def _latest(files: DataFrame, wanted: list[str]) -> DataFrame:
+    return files.groupBy("file_no").agg(F.max(F.struct("indexed_at", *wanted)).alias("v")).select("file_no", *(F.col(f"v.{c}").alias(c) for c in wanted))
 
 
 def language_of(path: Column) -> Column:
@@ -132,16 +149,22 @@ def nesting(source_files: DataFrame) -> DataFrame:
     return s.withColumn("depth", depth).groupBy("file_no").agg(F.max("depth").cast("int").alias("depth"))
 
 
-def magic_numbers(source_files: DataFrame, least: int = 2) -> DataFrame:
-    """file_no, line_no, n of lines with ``least`` numbers of three digits or more."""
-    n = F.size(F.regexp_extract_all("line", F.lit(r"\b[0-9]{3,}\b"), F.lit(0)))
+# fixed values: what counts as a number that needs a name, how many of them on a line, and lines of a large and of a huge file
+NUMBER = r"(?:^|[^0-9A-Za-z_.])(0[xX][0-9a-fA-F]+|[0-9]{3,})\b"
+PLAIN_NUMBER = r"^0[xX]?0*[012]?$"
+NUMBERS_ON_A_LINE, LARGE_FILE, HUGE_FILE = 3, 400, 800
+
+
+def magic_numbers(source_files: DataFrame, least: int = NUMBERS_ON_A_LINE) -> DataFrame:
+    """file_no, line_no, n of lines with ``least`` numbers of three digits or more, or hexadecimal; 0, 1 and 2 don't count however they are written."""
+    n = F.size(F.filter(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(1)), lambda x: ~x.rlike(PLAIN_NUMBER)))
     return source_lines(source_files).select("file_no", "line_no", n.alias("n")).where(F.col("n") >= least)
 
 
-def large_files(source_files: DataFrame, low: int = 60, high: int = 100) -> DataFrame:
-    """file_no, n_lines, severity of files with many lines."""
+def file_sizes(source_files: DataFrame, low: int = LARGE_FILE, high: int = HUGE_FILE) -> DataFrame:
+    """file_no, n_lines, severity: LOW for files of many lines, HIGH for far too many, null for others."""
     files = files_once(source_files, "lines").select("file_no", F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"))
-    return files.where(F.col("n_lines") >= low).withColumn("severity", F.when(F.col("n_lines") >= high, "HIGH").otherwise("LOW"))
+    return files.withColumn("severity", F.when(F.col("n_lines") >= high, "HIGH").when(F.col("n_lines") >= low, "LOW"))
 
 
 def snippet_context(places: DataFrame, source_files: DataFrame, context: int = 2) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracebed.functions.text import blank_free, plain_path
+from tracebed.session import Scratch
 
 # fixed values: severities from worst to least, confidences likewise
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
@@ -70,20 +73,27 @@ def semantic_identity(scan: DataFrame) -> DataFrame:
     return rows.select("finding_no", F.sha2(F.concat(parts, span), 256).alias("fp"))
 
 
-def corroborated(detected_by: Column, correlation: Column) -> Column:
-    """Two engines at least, or a correlation of 0.85."""
-    return (F.size(F.array_distinct(F.coalesce(detected_by, F.array().cast("array<string>")))) >= 2) | (F.coalesce(correlation, F.lit(0.0)) >= 0.85)
+def corroborated(detected_by: Column, tool: Column, correlation: Column) -> Column:
+    """Two engines at least (the tool itself where none is named), or a correlation of 0.85."""
+    engines = F.coalesce(F.when(F.size(detected_by) > 0, F.size(F.array_distinct(detected_by))), F.lit(1))
+    return (engines >= 2) | (F.coalesce(correlation, F.lit(0.0)) >= 0.85)
+
 
+def precision_gate(scan: DataFrame, profile: str = "smart", native: str = "*-engine") -> DataFrame:
+    """finding_no, kept: whether a finding passes the profile strict, smart, audit or experimental.
 
-def precision_gate(scan: DataFrame, profile: str = "smart") -> DataFrame:
-    """finding_no, kept: whether a finding passes the profile strict, smart, audit or experimental."""
-    rows = normal_findings(scan, "precision_level", "detected_by", "correlation_score")
-    level = F.upper(blank_free(F.col("precision_level")))
-    more = corroborated(F.col("detected_by"), F.col("correlation_score"))
+    smart leaves out what nothing corroborates if it is experimental, or of low confidence and found by the ``native``
+    tool (a glob); audit leaves out uncorroborated experimental findings alone; strict keeps very precise ones, and precise
+    ones of high confidence that are corroborated; experimental keeps all.
+    """
+    rows = normal_findings(scan, "tool", "precision_level", "confidence", "detected_by", "correlation_score")
+    level, sure = F.upper(blank_free(F.col("precision_level"))), F.upper(blank_free(F.col("confidence")))
+    more = corroborated(F.col("detected_by"), F.col("tool"), F.col("correlation_score"))
+    experimental = (level == "EXPERIMENTAL") & ~more
     kept = {
-        "strict": level.isin("VERY_HIGH") | ((level == "HIGH") & more),
-        "smart": level.isin("VERY_HIGH", "HIGH") | ((level == "MEDIUM") & more),
-        "audit": level != "EXPERIMENTAL",
+        "strict": (level == "VERY_HIGH") | (more & (sure == "HIGH") & (level == "HIGH")),
+        "smart": ~experimental & ~(blank_free(F.col("tool")).rlike(glob_regex(native)) & (sure == "LOW") & ~more),
+        "audit": ~experimental,
         "experimental": F.lit(True),
     }[profile]
     return rows.select("finding_no", kept.alias("kept"))
@@ -109,61 +119,99 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def suppressed_by(scan: DataFrame, entries: list[dict], today: str) -> DataFrame:
-    """finding_no, reason of each finding that an entry suppresses: the first that matches.
+def suppressed_by(scan: DataFrame, entries: list[dict], today: str, fingerprints: tuple[str, ...] = (), rules: tuple[str, ...] = ()) -> DataFrame:
+    """finding_no, reason of each finding that is suppressed: by a fingerprint, else by a rule, else by the first entry that matches.
 
-    An entry has reason and any of rule, fingerprint, path (a glob) and expires (a day that still counts). Entries are
-    few and written into the plan, so no join is needed.
+    An entry has reason (by default 'scoped suppression'), approved_by, and any of rule, fingerprint, path (a glob) and
+    expires (a day that still counts); one with neither rule nor fingerprint never matches. Fingerprints compare with
+    either of a finding's, without their prefix. Entries are few and written into the plan, so no join is needed.
     """
-    rows = normal_findings(scan, "rule_id", "fingerprint", "file")
-    tests = []
+    rows = normal_findings(scan, "rule_id", "fingerprint", "semantic_fingerprint", "file")
+    bare = lambda c: F.regexp_replace(blank_free(F.col(c)), "^sha256:", "")
+    is_one_of = lambda fps: bare("fingerprint").isin(*fps) | bare("semantic_fingerprint").isin(*fps)
+    tests = [F.when(is_one_of([f.removeprefix("sha256:") for f in fingerprints]), "fingerprint")] if fingerprints else []
+    tests += [F.when(F.col("rule_id").isin(*rules), "rule")] if rules else []
     for e in entries:
-        if e.get("expires") and e["expires"] < today:
+        fp = (e.get("fingerprint") or "").removeprefix("sha256:")
+        if (e.get("expires") and e["expires"] < today) or not (e.get("rule") or fp):
             continue
-        hit = F.lit(True)
-        for key, col in (("rule", "rule_id"), ("fingerprint", "fingerprint")):
-            if e.get(key):
-                hit = hit & (F.col(col) == e[key])
-        if e.get("path"):
-            hit = hit & F.col("file").rlike(glob_regex(e["path"]))
-        tests.append(F.when(hit, F.lit(e["reason"])))
+        hit = F.coalesce("file", F.lit("")).rlike(glob_regex(e.get("path") or "**"))
+        if e.get("rule"):
+            hit = hit & (F.col("rule_id") == e["rule"])
+        if fp:
+            hit = hit & is_one_of([fp])
+        said = e.get("reason") or "scoped suppression"
+        tests.append(F.when(hit, said + (f" (approved by {e['approved_by']})" if e.get("approved_by") else "")))
     reason = F.coalesce(*tests) if tests else F.lit(None).cast("string")
     return rows.select("finding_no", reason.alias("reason")).where("reason is not null")
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What a project doesn't allow: findings of some categories under a path (a glob), from a severity on."""
+
+    name: str
+    severity: str
+    categories: tuple[str, ...]
+    path: str = "**"
+
+
+def policy_violations(scan: DataFrame, policies: list[Policy]) -> DataFrame:
+    """policy, finding_no, rule_id, file, severity of each finding that a policy denies and nothing suppresses.
+
+    Policies are few and written into the plan: one pass, no theta join. A severity that isn't known denies nothing.
+    """
+    rows = normal_findings(scan, "rule_id", "category", "severity", "file", "suppressed").where("suppressed is null or not suppressed")
+    rank = severity_rank(F.col("severity"))
+    hits = F.array(*(
+        F.when(F.col("category").isin(*p.categories) & (rank <= SEVERITIES.index(p.severity)) & F.coalesce("file", F.lit("")).rlike(glob_regex(p.path)), p.name) for p in policies
+    ))
+    return rows.select(F.explode(F.array_compact(hits)).alias("policy"), "finding_no", "rule_id", "file", "severity")
+
+
+def failing(scan: DataFrame, level: str) -> DataFrame:
+    """finding_no, severity of the findings that aren't suppressed and at least as severe as ``level``; any row fails the scan."""
+    if level.upper() not in SEVERITIES:
+        raise ValueError(f"no severity: {level}")
+    rows = normal_findings(scan, "severity", "suppressed").where("suppressed is null or not suppressed")
+    return rows.where(severity_rank(F.col("severity")) <= SEVERITIES.index(level.upper())).select("finding_no", "severity")
+
+
 def numbered(scan: DataFrame, prefix: str = "F", year: int = 2026) -> DataFrame:
     """finding_no, report_id: ids in order of severity, confidence, file, line and number.
 
-    The order is global, so it is built from ranges: rows are range-partitioned by the sort key and numbered by the counts of
-    the partitions before theirs.
+    The order is global, so it is built from ranges: rows are range-partitioned by the sort key, sorted within each range, and
+    numbered by the counts of the ranges before theirs, one row each.
     """
+    scratch = Scratch(scan.sparkSession, "numbered")
     rows = normal_findings(scan, "severity", "confidence", "file", "start_line")
     keyed = rows.select("finding_no", severity_rank(F.col("severity")).alias("sr"), confidence_rank(F.col("confidence")).alias("cr"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("start_line", F.lit(0)).alias("line"))
-    # counts per (severity, confidence, first directory) place each group; inside it a window numbers the rows
-    keyed = keyed.withColumn("head", F.substring_index("file", "/", 3))
-    groups = keyed.groupBy("sr", "cr", "head").agg(F.count("*").alias("n"))
-    before = groups.select("sr", "cr", "head", (F.sum("n").over(Window.orderBy("sr", "cr", "head")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("sr", "cr", "head").orderBy("file", "line", "finding_no"))
-    out = keyed.withColumn("inside", inside).join(before, ["sr", "cr", "head"])
-    return out.select("finding_no", F.format_string(f"{prefix}-{year}-%06d", F.col("before") + F.col("inside")).alias("report_id"))
+    order = ("sr", "cr", "file", "line", "finding_no")
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number inside a range is the low half of the id that Spark gives the rows of a partition in order
+    placed = scratch.keep(ranged.withColumn("id", F.monotonically_increasing_id()).select("finding_no", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranges")
+    counts = placed.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "range").select("finding_no", F.format_string(f"{prefix}-{year}-%06d", F.col("before") + F.col("at") + 1).alias("report_id"))
 
 
 def merged_findings(scan: DataFrame) -> DataFrame:
-    """One row for each position fingerprint: the worst severity's first row, with engines and weaknesses united.
+    """One row for each position fingerprint: the worst severity's first row, with engines united in order of their names.
 
-    Ordered unions keep first appearance by finding_no; the longest message and the greatest scores win.
+    The longest message and the greatest scores win. Engines are told apart before they are gathered, so that a list is as
+    long as there are engines, however many rows a position has.
     """
     rows = normal_findings(scan, "file", "start_line", "end_line", "cwe", "normalized_type", "rule_id", "severity", "detected_by", "message", "confidence_score")
     rows = rows.withColumn("kind", problem_type(F.col("normalized_type"), F.col("cwe"), F.col("rule_id"))).withColumn("sr", severity_rank(F.col("severity")))
-    engines = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("detected_by", F.array().cast("array<string>")))))), ",")
-    return (
-        rows.groupBy(F.coalesce("file", F.lit("")).alias("file"), "start_line", "end_line", "kind")
-        .agg(
-            F.min(F.struct("sr", "finding_no")).alias("best"),
-            F.count("*").alias("n"),
-            engines.alias("engines"),
-            F.max(F.length(F.coalesce("message", F.lit("")))).alias("message_chars"),
-            F.max("confidence_score").alias("confidence_score"),
-        )
-        .select("file", "start_line", "end_line", "kind", F.col("best.finding_no").alias("finding_no"), F.col("best.sr").alias("severity_rank"), "n", "engines", "message_chars", "confidence_score")
+    # a null line is a value of its own here
+    key = ["file", "start", "end", "kind"]
+    rows = rows.withColumn("file", F.coalesce("file", F.lit(""))).withColumn("start", F.coalesce("start_line", F.lit(-1))).withColumn("end", F.coalesce("end_line", F.lit(-1)))
+    engines = rows.select(*key, F.explode_outer("detected_by").alias("engine")).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"))
+    merged = rows.groupBy(*key).agg(
+        F.min(F.struct("sr", "finding_no")).alias("best"),
+        F.count("*").alias("n"),
+        F.max(F.length(F.coalesce("message", F.lit("")))).alias("message_chars"),
+        F.max("confidence_score").alias("confidence_score"),
     )
+    line = lambda c: F.nullif(F.col(c), F.lit(-1))
+    return merged.join(engines, key).select("file", line("start").alias("start_line"), line("end").alias("end_line"), "kind", F.col("best.finding_no").alias("finding_no"), F.col("best.sr").alias("severity_rank"), "n", "engines", "message_chars", "confidence_score")

@@ -42,17 +42,19 @@ def severity_counts(scan: DataFrame) -> DataFrame:
 
 
 def risk_by_project(scan: DataFrame) -> DataFrame:
-    """project, n, raw, risk, band of security and secret findings: 100 (1 - exp(-raw / 40)), each finding's weight times its factor."""
+    """project, n, raw, risk, band of security and secret findings: 100 (1 - exp(-raw / 40)) as a whole number, each finding's weight times its factor."""
     rows = active(scan, "project", "severity", "category", "confidence", "confidence_score", "reachable", "exploitability_score", "detected_by").where("category in ('security', 'secret')")
-    known = F.when(F.col("confidence_score").isNotNull(), F.col("confidence_score")).otherwise(lookup(F.upper(blank_free(F.col("confidence"))), CONFIDENCE_FACTORS, 1.0))
+    known = F.when(F.col("confidence_score").isNotNull(), F.col("confidence_score")).otherwise(lookup(F.upper(blank_free(F.col("confidence"))), CONFIDENCE_FACTORS, 0.85))
     reach = F.when(~F.col("reachable"), 0.35).otherwise(1.0)
     exploit = F.when(F.col("exploitability_score").isNotNull(), 0.5 + F.col("exploitability_score") / 200).otherwise(1.0)
     engines = F.size(F.array_distinct(F.coalesce("detected_by", F.array().cast("array<string>"))))
     consensus = 1 + F.least(F.lit(0.25), 0.08 * F.greatest(engines - 1, F.lit(0)))
     factor = F.least(F.lit(1.5), F.greatest(F.lit(0.1), known * reach * exploit * consensus))
-    raw = F.round(F.sum(lookup(F.col("severity"), WEIGHTS) * factor), 6)
+    # decimals add up to the same sum in any order
+    raw = F.round(F.sum((lookup(F.col("severity"), WEIGHTS) * factor).cast("decimal(20, 12)")), 6).cast("double")
     out = rows.groupBy("project").agg(F.count("*").alias("n"), raw.alias("raw"))
-    risk = F.round(100 * (1 - F.exp(-F.col("raw") / 40)), 4)
+    # halves go to the even number, as the score's definition has it
+    risk = F.bround(100 * (1 - F.exp(-F.col("raw") / 40))).cast("int")
     out = out.withColumn("risk", risk)
     band = F.when(F.col("risk") <= 19, "LOW").when(F.col("risk") <= 39, "MODERATE").when(F.col("risk") <= 69, "HIGH").otherwise("CRITICAL")
     return out.withColumn("band", band)
@@ -86,10 +88,10 @@ def weakness_distribution(scan: DataFrame, most: int = 15) -> DataFrame:
 
 
 def hotspots(scan: DataFrame, most: int = 10) -> DataFrame:
-    """kind (folder or file), place, weight, n, worst: the heaviest places of either kind, ties by name."""
+    """kind (folder or file), place, weight, n, worst: the heaviest places of either kind, ties by name; files at the root are in '(root)/'."""
     rows = active(scan, "file", "severity").where("file is not null")
     weighed = rows.select(
-        F.explode(F.array(F.struct(F.lit("file").alias("kind"), F.col("file").alias("place")), F.struct(F.lit("folder").alias("kind"), F.substring_index("file", "/", 1).alias("place")))).alias("p"),
+        F.explode(F.array(F.struct(F.lit("file").alias("kind"), F.col("file").alias("place")), F.struct(F.lit("folder").alias("kind"), F.when(F.contains("file", F.lit("/")), F.concat(F.substring_index("file", "/", 1), F.lit("/"))).otherwise("(root)/").alias("place")))).alias("p"),
         lookup(F.col("severity"), WEIGHTS).alias("w"),
         severity_rank(F.col("severity")).alias("sr"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracebed.operators import code, duplicates, findings, flows, metrics, packages, state
+from tracebed.operators import code, duplicates, findings, flows, metrics, packages, state, summary
 from tracebed.sources.tables import table
 
 QUERIES: dict = {}
@@ -106,14 +106,16 @@ def nesting_depth(spark, d):
     return code.nesting(table(spark, d, "source_files"))
 
 
-@query(f"with {LINES} select file_no, line_no, cast(len(regexp_extract_all(line, '\\b[0-9]{{3,}}\\b')) as integer) n from lines where len(regexp_extract_all(line, '\\b[0-9]{{3,}}\\b')) >= 2")
+@query(f"""with {LINES}, c as (
+  select file_no, line_no, len(list_filter(regexp_extract_all(line, '(?:^|[^0-9A-Za-z_.])(0[xX][0-9a-fA-F]+|[0-9]{{3,}})\\b', 1), lambda x: not regexp_matches(x, '^0[xX]?0*[012]?$'))) n from lines
+) select file_no, line_no, cast(n as integer) n from c where n >= 3""")
 def magic_numbers(spark, d):
     return code.magic_numbers(table(spark, d, "source_files"))
 
 
-@query(f"with {FILES} select file_no, cast(coalesce(len(lines), 0) as integer) n_lines, case when len(lines) >= 100 then 'HIGH' else 'LOW' end severity from files where len(lines) >= 60")
+@query(f"with {FILES} select file_no, cast(coalesce(len(lines), 0) as integer) n_lines, case when len(lines) >= 800 then 'HIGH' when len(lines) >= 400 then 'LOW' end severity from files")
 def large_file(spark, d):
-    return code.large_files(table(spark, d, "source_files"))
+    return code.file_sizes(table(spark, d, "source_files"))
 
 
 @query(f"""with {LINES}, asked as (select distinct file_no, line_no from lines where contains(lower(line), 'cursor.execute')
@@ -152,7 +154,7 @@ def duplicate_regions(spark, d):
 
 @query("""with t as (select distinct file_no, lower(trim(token_hash)) t from (select file_no, line_no, min(lower(trim(token_hash))) token_hash from tokenized_lines where token_hash is not null group by 1, 2)
 ), size as (select file_no, count(*) n from t group by 1
-), rare as (select t from t group by 1 having count(*) between 2 and 200
+), rare as (select t from t group by 1 having count(*) > 1
 ), k as (select * from t join rare using (t)
 ), p as (select x.file_no a, y.file_no b, count(*) shared from k x join k y on x.t = y.t and x.file_no < y.file_no group by 1, 2)
 select a, b, shared, round(shared / least(s1.n, s2.n), 6) overlap from p join size s1 on s1.file_no = a join size s2 on s2.file_no = b where round(shared / least(s1.n, s2.n), 6) >= 0.3""")
@@ -176,31 +178,47 @@ def fingerprint_semantic(spark, d):
     return findings.semantic_identity(table(spark, d, "scan_findings"))
 
 
-_MORE = "(len(list_distinct(coalesce(detected_by, []))) >= 2 or coalesce(correlation_score, 0) >= 0.85)"
+_MORE = "(len(list_distinct(case when len(detected_by) > 0 then detected_by else [tool] end)) >= 2 or coalesce(correlation_score, 0) >= 0.85)"
 
 
-@query(f"with {once('precision_level', 'detected_by', 'correlation_score')} select finding_no, (p in ('VERY_HIGH', 'HIGH') or (p = 'MEDIUM' and {_MORE})) kept from (select *, upper(coalesce(trim(precision_level), '')) p from f)")
+@query(f"""with {once('tool', 'precision_level', 'confidence', 'detected_by', 'correlation_score')}
+select finding_no, not (coalesce(trim(tool), '') like '%-engine' and upper(coalesce(trim(confidence), '')) = 'LOW' and not {_MORE}) and not (upper(coalesce(trim(precision_level), '')) = 'EXPERIMENTAL' and not {_MORE}) kept from f""")
 def precision_gate(spark, d):
     return findings.precision_gate(table(spark, d, "scan_findings"))
 
 
 SUPPRESSIONS = [
-    {"reason": "tests", "path": "*/lib/*", "rule": None, "expires": "2026-01-01"},
-    {"reason": "tools are ours", "path": "*/tools/*", "expires": "2026-03-01"},
-    {"reason": "known", "path": "harbor-monorepo/*"},
+    {"reason": "over", "rule": "private-key", "path": "*/lib/*", "expires": "2026-01-01"},
+    {"reason": "tools are ours", "rule": "password-literal", "path": "*/tools/*", "expires": "2026-03-01", "approved_by": "the team"},
+    {"reason": "neither rule nor fingerprint", "path": "harbor-monorepo/*"},
+    {"rule": "password-literal"},
 ]
 
 
-@query(f"""with {once('rule_id', 'fingerprint', 'file')}
-select finding_no, case when regexp_matches(file, '^.*/tools/.*$', 's') then 'tools are ours' else 'known' end reason from f where regexp_matches(file, '^.*/tools/.*$', 's') or regexp_matches(file, '^harbor-monorepo/.*$', 's')""")
+@query(f"""with {once('rule_id', 'file')}
+select finding_no, case when rule_id = 'generic-api-key' then 'rule' when coalesce(file, '') like '%/tools/%' then 'tools are ours (approved by the team)' else 'scoped suppression' end reason from f where rule_id in ('generic-api-key', 'password-literal')""")
 def suppression_scoped(spark, d):
-    return findings.suppressed_by(table(spark, d, "scan_findings"), SUPPRESSIONS, today="2026-03-01")
+    return findings.suppressed_by(table(spark, d, "scan_findings"), SUPPRESSIONS, today="2026-03-01", rules=("generic-api-key",))
+
+
+POLICIES = [findings.Policy("no-secrets", "LOW", ("secret",)), findings.Policy("services", "HIGH", ("security", "bug"), "*/services/*")]
+
+
+@query(f"""with {once('rule_id', 'category', 'severity', 'file', 'suppressed')}, a as (select *, {RANK} r from f where {ACTIVE})
+select 'no-secrets' policy, finding_no, rule_id, file, severity from a where category = 'secret' and r <= 3
+union all select 'services', finding_no, rule_id, file, severity from a where category in ('security', 'bug') and r <= 1 and coalesce(file, '') like '%/services/%'""")
+def policy_gate(spark, d):
+    return findings.policy_violations(table(spark, d, "scan_findings"), POLICIES)
+
+
+@query(f"with {once('severity', 'suppressed')} select finding_no, severity from f where {ACTIVE} and severity in ('HIGH', 'CRITICAL')")
+def fail_on(spark, d):
+    return findings.failing(table(spark, d, "scan_findings"), "high")
 
 
 @query(f"""with {once('severity', 'confidence', 'file', 'start_line')}, k as (
   select finding_no, {RANK} sr, case upper(coalesce(trim(confidence), '')) when 'HIGH' then 0 when 'MEDIUM' then 1 when 'LOW' then 2 else 3 end cr, coalesce(file, '') file, coalesce(start_line, 0) line from f
-), h as (select *, array_to_string(list_slice(string_split(file, '/'), 1, 3), '/') head from k)
-select finding_no, printf('F-2026-%06d', row_number() over (order by sr, cr, head, file, line, finding_no)) report_id from h""")
+) select finding_no, printf('F-2026-%06d', row_number() over (order by sr, cr, file, line, finding_no)) report_id from k""")
 def report_ids(spark, d):
     return findings.numbered(table(spark, d, "scan_findings"))
 
@@ -219,10 +237,10 @@ def severity_counts(spark, d):
 
 
 @query(f"""with {once('project', 'severity', 'category', 'confidence', 'confidence_score', 'reachable', 'exploitability_score', 'detected_by', 'suppressed')}, g as (
-  select project, {WEIGHT} * least(1.5::double, greatest(0.1::double, coalesce(confidence_score, case upper(coalesce(trim(confidence), '')) when 'HIGH' then 1.0::double when 'MEDIUM' then 0.85::double when 'LOW' then 0.65::double else 1.0::double end)
+  select project, {WEIGHT} * least(1.5::double, greatest(0.1::double, coalesce(confidence_score, case upper(coalesce(trim(confidence), '')) when 'HIGH' then 1.0::double when 'MEDIUM' then 0.85::double when 'LOW' then 0.65::double else 0.85::double end)
     * (case when not reachable then 0.35::double else 1.0::double end) * (case when exploitability_score is not null then 0.5::double + exploitability_score / 200 else 1.0::double end)
     * (1 + least(0.25::double, 0.08::double * greatest(len(list_distinct(coalesce(detected_by, []))) - 1, 0))))) w from f where {ACTIVE} and category in ('security', 'secret')
-), h as (select project, count(*) n, round(sum(w), 6) raw from g group by 1), i as (select *, round(100 * (1 - exp(-raw / 40)), 4) risk from h)
+), h as (select project, count(*) n, cast(round(sum(cast(w as decimal(20, 12))), 6) as double) raw from g group by 1), i as (select *, cast(round_even(100 * (1 - exp(-raw / 40)), 0) as integer) risk from h)
 select *, case when risk <= 19 then 'LOW' when risk <= 39 then 'MODERATE' when risk <= 69 then 'HIGH' else 'CRITICAL' end band from i""")
 def risk_score(spark, d):
     return metrics.risk_by_project(table(spark, d, "scan_findings"))
@@ -251,7 +269,7 @@ def cwe_distribution(spark, d):
 
 
 @query(f"""with {once('file', 'severity', 'suppressed')}, e as (
-  select 'file' kind, file place, {WEIGHT} w, {RANK} sr from f where file is not null and {ACTIVE} union all select 'folder', split_part(file, '/', 1), {WEIGHT}, {RANK} from f where file is not null and {ACTIVE}
+  select 'file' kind, file place, {WEIGHT} w, {RANK} sr from f where file is not null and {ACTIVE} union all select 'folder', case when contains(file, '/') then split_part(file, '/', 1) || '/' else '(root)/' end, {WEIGHT}, {RANK} from f where file is not null and {ACTIVE}
 ), g as (select kind, place, sum(w) weight, count(*) n, min(sr) worst from e group by 1, 2)
 select kind, place, weight, n, worst from (select *, row_number() over (partition by kind order by weight desc, place) r from g) where r <= 10""")
 def hotspots(spark, d):
@@ -291,66 +309,118 @@ def folder_rollup(spark, d):
 # state
 
 
-_STATE = """select finding_key, state, active from (
-  select coalesce(nullif(trim(semantic_fingerprint), ''), nullif(trim(fingerprint), '')) finding_key, concat_ws('|', coalesce(trim(rule_id), ''), coalesce(trim(file), ''), upper(coalesce(trim(severity), ''))) state, coalesce(active, 0) active,
-    row_number() over (partition by coalesce(nullif(trim(semantic_fingerprint), ''), nullif(trim(fingerprint), '')) order by try_cast(regexp_replace(trim(last_seen), 'Z$', '') as timestamp) desc nulls last,
-      concat_ws('|', coalesce(trim(rule_id), ''), coalesce(trim(file), ''), upper(coalesce(trim(severity), ''))) desc, coalesce(active, 0) desc) rn
-  from findings where snapshot_no = {}) where rn = 1 and finding_key is not null"""
+_STATE = """num as (select snapshot_no, row_number() over (order by snapshot_no) - 1 i from (select distinct snapshot_no from findings where snapshot_no is not null)
+), raw as (select snapshot_no, coalesce(nullif(trim(semantic_fingerprint), ''), nullif(trim(fingerprint), '')) finding_key, try_cast(regexp_replace(trim(last_seen), 'Z$', '') as timestamp) seen,
+  concat_ws('|', coalesce(trim(rule_id), ''), coalesce(trim(file), ''), upper(coalesce(trim(severity), ''))) state, upper(coalesce(trim(severity), '')) severity, coalesce(active, 0) active from findings
+), st as (select finding_key, snapshot_no, i, state, severity, active from (
+  select *, row_number() over (partition by snapshot_no, finding_key order by seen desc nulls last, state desc, active desc, severity desc) rn from raw where finding_key is not null) join num using (snapshot_no) where rn = 1)"""
+_PAIRS = """(select n.snapshot_no, coalesce(a.finding_key, b.finding_key) finding_key, a.state sa, b.state sb, b.severity from num n
+  join (select i + 1 as i1, * from {0}) a on a.i1 = n.i left join {0} b on b.i = n.i and b.finding_key = a.finding_key
+  union all select b.snapshot_no, b.finding_key, null, b.state, b.severity from {0} b where b.i > 0 and not exists (select 1 from {0} a where a.i = b.i - 1 and a.finding_key = b.finding_key))"""
 
 
-@query(f"""with a as ({_STATE.format(1)}), b as ({_STATE.format(2)})
-select coalesce(a.finding_key, b.finding_key) finding_key, case when a.finding_key is null then 'added' when b.finding_key is null then 'removed' when a.state = b.state then 'same' else 'changed' end change from a full join b on a.finding_key = b.finding_key""")
+@query(f"with {_STATE} select snapshot_no, finding_key, case when sa is null then 'added' when sb is null then 'removed' when sa = sb then 'same' else 'changed' end change from {_PAIRS.format('st')}")
 def change_detection(spark, d):
-    f = table(spark, d, "findings")
-    return state.table_diff(state.finding_states(f, 1), state.finding_states(f, 2), "finding_key", "state")
+    return state.snapshot_diff(table(spark, d, "findings"))
 
 
-@query(f"""with a as ({_STATE.format(2)}), b as (select * from ({_STATE.format(3)}) where active = 1)
-select * from (select coalesce(a.finding_key, b.finding_key) finding_key, case when b.finding_key is not null then case when a.finding_key is null then 'NEW' when a.active = 1 then 'EXISTING' else 'REOPENED' end when a.active = 1 then 'RESOLVED' end status
-from a full join b on a.finding_key = b.finding_key) where status is not null""")
+@query(f"""with {_STATE}, live as (select * from st where active = 1)
+select b.snapshot_no, b.finding_key, case when not exists (select 1 from st p where p.finding_key = b.finding_key and p.i < b.i) then 'NEW' when exists (select 1 from live p where p.finding_key = b.finding_key and p.i = b.i - 1) then 'EXISTING' else 'REOPENED' end status from live b
+union all select n.snapshot_no, a.finding_key, 'RESOLVED' from live a join num n on n.i = a.i + 1 where not exists (select 1 from live b where b.finding_key = a.finding_key and b.i = n.i)""")
 def lifecycle_diff(spark, d):
-    return state.lifecycle(table(spark, d, "findings"), 2, 3)
+    return state.lifecycle(table(spark, d, "findings"))
 
 
-@query(f"""with {once('fingerprint', 'semantic_fingerprint')}, b as (select lower(nullif(trim(fingerprint), '')) bf, lower(nullif(trim(semantic_fingerprint), '')) bs from findings where snapshot_no = 1)
-select finding_no, case when lower(nullif(trim(fingerprint), '')) in (select bf from b where bf is not null) or lower(nullif(trim(semantic_fingerprint), '')) in (select bs from b where bs is not null) then 'EXISTING' else 'NEW' end status from f""")
+@query(f"""with {once('fingerprint', 'semantic_fingerprint')}, m as (select finding_no, lower(nullif(trim(fingerprint), '')) f, lower(nullif(trim(semantic_fingerprint), '')) s from f
+), b as (select distinct lower(nullif(trim(fingerprint), '')) f, lower(nullif(trim(semantic_fingerprint), '')) s from findings)
+select finding_no, coalesce(s, f) finding_key, case when f in (select f from b where f is not null) or s in (select s from b where s is not null) then 'EXISTING' else 'NEW' end status from m
+union all select distinct null, coalesce(s, f), 'RESOLVED' from b where coalesce(s, f) is not null and (f is null or f not in (select f from m where f is not null)) and (s is null or s not in (select s from m where s is not null))""")
 def baseline_diff(spark, d):
-    return state.baseline_status(table(spark, d, "scan_findings"), table(spark, d, "findings"), 1)
+    return state.baseline_status(table(spark, d, "scan_findings"), table(spark, d, "findings"))
 
 
-@query(f"""with a as (select * from ({_STATE.format(5)}) where active = 1), b as (select * from ({_STATE.format(6)}) where active = 1)
-select case when a.finding_key is null then 'NEW' when b.finding_key is null then 'FIXED' when a.state = b.state then 'STILL_PRESENT' else 'CHANGED' end status, count(*) n from a full join b on a.finding_key = b.finding_key group by 1""")
+@query(f"""with {_STATE}, live as (select * from st where active = 1), c as (
+  select snapshot_no, count(*) filter (sa is not null and sb is null) n_removed, count(*) filter (sa is not null and sb is not null) n_persisted, count(*) filter (sa is null and severity in ('HIGH', 'CRITICAL')) n_new_severe from {_PAIRS.format('live')} group by 1)
+select snapshot_no, case when n_persisted > 0 then 'NOT_FIXED' when n_new_severe > 0 then 'REGRESSION_DETECTED' when n_removed > 0 then 'VERIFIED_BY_RESCAN' else 'NO_MATCHING_FINDING' end status, n_removed, n_persisted, n_new_severe from c""")
 def fix_verification(spark, d):
-    return state.fix_check(table(spark, d, "findings"), 5, 6)
+    return state.fix_check(table(spark, d, "findings"))
 
 
 def _feedback(spark, d):
-    rows = table(spark, d, "findings").where("snapshot_no = 1").select("semantic_fingerprint", "rule_id", "severity").distinct()
-    return rows.select(F.hash("semantic_fingerprint", "rule_id", "severity").alias("entry_no"), "semantic_fingerprint", "rule_id", F.lit("").alias("sink_kind"), F.upper(F.trim("rule_id")).alias("verdict"))
-
-
-@query(f"""with {once('semantic_fingerprint', 'rule_id', 'sink_kind')}, fb as (select distinct lower(nullif(trim(semantic_fingerprint), '')) s, rule_id, upper(trim(rule_id)) verdict from findings where snapshot_no = 1
-), ex as (select s, max(verdict) verdict from fb where s is not null group by 1), nr as (select rule_id, max(verdict) verdict from fb where rule_id is not null group by 1)
-select finding_no, case when ex.verdict is not null then 1.0::double else 0.7::double end weight, coalesce(ex.verdict, nr.verdict) verdict
-from f left join ex on ex.s = lower(nullif(trim(f.semantic_fingerprint), '')) left join nr on nr.rule_id = f.rule_id and coalesce(trim(f.sink_kind), '') = '' where ex.verdict is not null or nr.verdict is not null""")
+    """The index as verdicts: whoever closed a finding said so, later snapshots later."""
+    rows = table(spark, d, "findings").where("snapshot_no is not null")
+    verdict = F.when(F.col("active") == 0, "fixed").otherwise("confirmed")
+    order = F.concat_ws("|", F.lpad(F.col("snapshot_no").cast("string"), 9, "0"), F.lower(F.trim("semantic_fingerprint")), F.trim("rule_id"), verdict)
+    return rows.select(order.alias("entry_no"), "semantic_fingerprint", F.trim("rule_id").alias("rule_id"), F.lit("").alias("sink_kind"), verdict.alias("verdict"))
+
+
+@query(f"""with {once('semantic_fingerprint', 'fingerprint', 'rule_id')}, fb as (select lower(nullif(trim(semantic_fingerprint), '')) s, nullif(trim(rule_id), '') rule_id, case when active = 0 then 'fixed' else 'confirmed' end verdict,
+  concat_ws('|', lpad(snapshot_no::varchar, 9, '0'), lower(trim(semantic_fingerprint)), trim(rule_id), case when active = 0 then 'fixed' else 'confirmed' end) e from findings where snapshot_no is not null
+), own as (select s, arg_max(verdict, e) verdict from fb where s is not null group by 1), ruled as (select rule_id, arg_max(verdict, e) verdict from fb where rule_id is not null group by 1)
+select finding_no, case when own.verdict is not null then 1.0::double else 0.7::double end weight, coalesce(own.verdict, ruled.verdict) verdict
+from f left join own on own.s = coalesce(lower(nullif(trim(f.semantic_fingerprint), '')), lower(nullif(trim(f.fingerprint), ''))) left join ruled on ruled.rule_id = f.rule_id where own.verdict is not null or ruled.verdict is not null""")
 def feedback_cascade(spark, d):
     return state.feedback_match(table(spark, d, "scan_findings"), _feedback(spark, d))
 
 
-@query(f"""with recursive l as (select distinct * from (select {sql_path('file')} file, {sql_path('depends_on')} o from dependencies) where file is not null and o is not null and file <> o
-), seed as (select distinct x file from (select file x from l union all select o from l) where x like 'harbor-monorepo/lib/%'
-), reach(file, distance) as (select file, 0 from seed union select l.file, r.distance + 1 from reach r join l on l.o = r.file where r.distance < 60)
+@query(f"""with recursive r as (select {sql_path('file')} file, {sql_path('depends_on')} o from dependencies), l as (select distinct file, o from r where file is not null and o is not null and file <> o
+), seed as (select file from r where file is not null group by 1 having count(distinct coalesce(o, '')) > 1
+), reach(file, distance, path) as (select file, 0, [file] from seed where file in (select file from l union select o from l) union select l.file, r.distance + 1, list_append(r.path, l.file) from reach r join l on l.o = r.file where not list_contains(r.path, l.file) and l.file not in (select file from seed))
 select file, cast(min(distance) as integer) distance from reach group by file""")
 def affected_closure(spark, d):
-    return state.reached_files(table(spark, d, "dependencies"), F.col("file").startswith("harbor-monorepo/lib/"))
+    dependencies = table(spark, d, "dependencies")
+    return state.reached_files(dependencies, state.changed_dependents(dependencies))
 
 
-@query(f"""with {once('file', 'secret_related_locations')}, c as (select distinct {sql_path('path')} p from source_files where file_no % 3 = 0 and path is not null
-), t as (select finding_no, file p from f union all select finding_no, {sql_path("regexp_replace(x, ':[0-9]+$', '')")} from (select finding_no, unnest(secret_related_locations) x from f))
-select finding_no from f where finding_no not in (select finding_no from t join c using (p))""")
+@query(f"""with {once('file', 'secret_related_locations', 'detected_at')}, c as (select {sql_path('path')} p, max(indexed_at) t from source_files where path is not null and indexed_at is not null group by 1
+), t as (select finding_no, detected_at, file p from f union all select finding_no, detected_at, {sql_path("regexp_replace(x, ':[0-9]+$', '')")} from (select finding_no, detected_at, unnest(secret_related_locations) x from f))
+select distinct finding_no from f where finding_no not in (select finding_no from t join c using (p) where detected_at is null or c.t > detected_at)""")
 def cache_reuse(spark, d):
-    changed = table(spark, d, "source_files").where("file_no % 3 = 0 and path is not null").select(code.plain_path(F.col("path")).alias("file"))
-    return state.reusable(table(spark, d, "scan_findings"), changed)
+    return state.reusable(table(spark, d, "scan_findings"), table(spark, d, "source_files"))
+
+
+# reports
+
+
+_NUMBERS = "list_filter(list_transform(coalesce(cwe, []), lambda c: regexp_extract(upper(trim(c)), '^(?:CWE-)?([0-9]+)$', 1)), lambda n: n <> '')"
+_CLASS = "case n " + " ".join(f"when '{n}' then '{c}'" for c, numbers in summary.WEAKNESS_CLASSES.items() for n in numbers) + " end"
+_DECIDED = "case category " + " ".join(f"when '{k}' then '{v}'" for k, v in summary.CATEGORY_CLASSES.items()) + " end"
+
+
+@query(f"""with {once('category', 'cwe', 'suppressed')}, c as (select coalesce({_DECIDED}, list_filter(list_transform({_NUMBERS}, lambda n: {_CLASS}), lambda x: x is not null)[1], case when category = 'security' then 'Input Validation' else 'Configuration' end) as name from f where {ACTIVE})
+select name, count(*) n, round(100 * count(*) / sum(count(*)) over (), 1) pct from c group by name""")
+def class_distribution(spark, d):
+    return summary.class_distribution(table(spark, d, "scan_findings"))
+
+
+@query(f"""with {once('suppressed', 'confidence', 'lifecycle_status', 'message', 'rule_id')}, g as (select *, nullif(upper(coalesce(trim(lifecycle_status), '')), '') life,
+  regexp_replace(regexp_replace(regexp_replace(trim(coalesce(nullif(message, ''), nullif(rule_id, ''), 'Finding')), '\\*{{6,}}', '************', 'g'), '•{{6,}}', '••••', 'g'), 'X{{8,}}', 'XXXXXXXX', 'gi') t from f)
+select finding_no, case when suppressed then 'Suppressed' when upper(coalesce(trim(confidence), '')) = 'LOW' then 'Potential Finding' when life is not null and life <> 'NONE' then life[1] || lower(life[2:]) else 'Needs Review' end status,
+  case when length(t) <= 100 then t else rtrim(t[1:97]) || '...' end title from g""")
+def display_status(spark, d):
+    return summary.display(table(spark, d, "scan_findings"))
+
+
+@query(f"""with {once('category', 'severity', 'confidence', 'suppressed')}, g as (select *, upper(coalesce(trim(confidence), '')) = 'HIGH' sure from f where {ACTIVE})
+select finding_no, case when severity = 'CRITICAL' or severity = 'HIGH' and sure then 'immediate' when severity in ('HIGH', 'MEDIUM') then 'short_term' else 'planned' end bucket,
+  case when category = 'secret' then 'Low' when severity in ('CRITICAL', 'HIGH') then case when sure then 'High' else 'Medium' end when severity in ('LOW', 'INFO') then 'Low' else 'Medium' end complexity from g""")
+def remediation_buckets(spark, d):
+    return summary.remediation(table(spark, d, "scan_findings"))
+
+
+@query(f"""with {once('category', 'severity', 'confidence', 'file', 'start_line', 'rule_id', 'cwe', 'suppressed')}, g as (
+  select finding_no, case when category = 'secret' then '{summary.ROTATE}' when rule_id in ('B105', 'B106', 'B107') or list_has_any({_NUMBERS}, ['798', '259']) then '{summary.USE_STORE}' end as action,
+    coalesce(file, '') || ':' || coalesce(start_line, 0) place, severity, {RANK} sr, case upper(coalesce(trim(confidence), '')) when 'HIGH' then 0 when 'MEDIUM' then 1 when 'LOW' then 2 else 3 end cr, coalesce(file, '') f, coalesce(start_line, 0) l from f where {ACTIVE})
+select finding_no, action, place, severity from g where action is not null order by sr, cr, f, l, finding_no limit 8""")
+def quick_wins(spark, d):
+    return summary.quick_wins(table(spark, d, "scan_findings"))
+
+
+@query(f"""with {once('project', 'reachable', 'internet_exposed', 'authentication_required', 'endpoint', 'exploitability_score', 'code_snippet', 'detected_by', 'suppressed')}
+select project, count(*) n, count(*) filter (reachable) reachable, count(*) filter (internet_exposed) internet_exposed, count(*) filter (internet_exposed and not authentication_required and endpoint <> '') open_endpoints,
+  count(*) filter (exploitability_score >= 80) highly_exploitable, count(*) filter (code_snippet <> '') with_code, count(*) filter (len(list_distinct(detected_by)) > 1) several_engines from f where {ACTIVE} group by 1""")
+def attack_surface(spark, d):
+    return summary.exposure(table(spark, d, "scan_findings"))
 
 
 # flows and packages

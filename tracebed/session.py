@@ -30,11 +30,13 @@ def build_session(app: str = "tracebed", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder of our own."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``; only on one machine (a local master), where that is unset, a folder of our own."""
     global _OWN_ROOT
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _OWN_ROOT is None:
         _OWN_ROOT = tempfile.mkdtemp(prefix="tracebed-")
     return f"file://{_OWN_ROOT}"

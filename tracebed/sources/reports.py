@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # fixed values: level of a severity in SARIF
 SARIF_LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
 # fixed values: severities of two tools in canonical form
-PATTERN_SEVERITIES = {"ERROR": "HIGH", "WARNING": "MEDIUM", "INFO": "LOW"}
+PATTERN_SEVERITIES = {"ERROR": "HIGH", "WARNING": "MEDIUM", "INFO": "INFO", "CRITICAL": "CRITICAL", "HIGH": "HIGH", "MEDIUM": "MEDIUM", "LOW": "LOW"}
+PYTHON_SEVERITIES = {"HIGH": "HIGH", "MEDIUM": "MEDIUM", "LOW": "LOW"}
 SECRET_SEVERITY = "CRITICAL"
 
 FINDING = "tool string, rule_id string, severity string, file string, start_line int, end_line int, message string"
@@ -32,7 +33,7 @@ def python_report(spark: SparkSession, path: str) -> DataFrame:
     """Results of a Python scanner: {results: [{test_id, issue_severity, issue_text, filename, line_number, line_range}]}."""
     schema = "results array<struct<test_id: string, issue_severity: string, issue_text: string, filename: string, line_number: int, line_range: array<int>>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("results").alias("r"))
-    return rows.select(F.lit("bandit").alias("tool"), F.col("r.test_id").alias("rule_id"), F.upper("r.issue_severity").alias("severity"), F.col("r.filename").alias("file"), F.col("r.line_number").alias("start_line"), F.coalesce(F.array_max("r.line_range"), F.col("r.line_number")).alias("end_line"), F.col("r.issue_text").alias("message"))
+    return rows.select(F.lit("bandit").alias("tool"), F.col("r.test_id").alias("rule_id"), _mapped(F.col("r.issue_severity"), PYTHON_SEVERITIES, "LOW").alias("severity"), F.col("r.filename").alias("file"), F.col("r.line_number").alias("start_line"), F.coalesce(F.array_max("r.line_range"), F.col("r.line_number")).alias("end_line"), F.col("r.issue_text").alias("message"))
 
 
 def lint_report(spark: SparkSession, path: str) -> DataFrame:
