@@ -129,17 +129,25 @@ class Alphabet:
     def readings(self, data: list[int | None], lost: frozenset[int]) -> list[str]:
         """The best readings of a byte lattice as UTF-8: Viterbi from byte to byte, keeping the LIST likeliest ways to each place.
 
-        Without lost bytes there is one way at most.
+        Without lost bytes there is one way at most. A character of which no byte is left is no edge here: words of
+        such characters are found by their shape.
         """
         ways: list[list[tuple[float, str]]] = [[] for _ in range(len(data) + 1)]
         ways[0] = [(0.0, "")]
+        if None not in data:
+            try:
+                return [bytes(data).decode("utf-8")]
+            except UnicodeDecodeError:
+                return []
         for i in range(len(data)):
-            here = ways[i] = ways[i] if len(ways[i]) <= LIST else sorted(ways[i], reverse=True)[:LIST]
+            here = ways[i] if len(ways[i]) <= LIST else sorted(ways[i], reverse=True)[:LIST]
             first = data[i]
             lengths = range(2, 5) if first is None else (1,) if first < 0x80 else (2,) if 0xC2 <= first < 0xE0 else (3,) if 0xE0 <= first < 0xF0 else (4,) if 0xF0 <= first < 0xF5 else ()
             for n in lengths if here else ():
                 if i + n <= len(data):
                     pattern = tuple(data[i : i + n])
+                    if all(b is None for b in pattern):
+                        continue
                     for w, c in self.edges(pattern, lost):
                         ways[i + n] += [(v + w, t + c) for v, t in here if None not in pattern or _follows(t[-1:], c)]
         return [t for _, t in sorted(ways[-1], reverse=True)[:LIST]]
@@ -185,7 +193,7 @@ def _utf8_readings(piece: str, alphabet: Alphabet, depth: int = 2) -> dict[str,
             if read == piece:
                 continue
             out.setdefault(read, f"{reader}>utf-8")
-            if depth > 1 and any(ord(c) > 127 for c in read):
+            if depth > 1 and None not in data and any(ord(c) > 127 for c in read):
                 for again, pair in _utf8_readings(read, alphabet, depth - 1).items():
                     out.setdefault(again, f"{reader}>utf-8 {pair}")
     return out
