@@ -49,12 +49,16 @@ def problem_type(own: Column, cwe: Column, rule: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(own), F.lit("")), F.nullif(joined_cwe(cwe), F.lit("")), F.lower(F.element_at(F.split(F.coalesce(rule, F.lit("")), r"\."), -1)))
 
 
+def position_parts() -> Column:
+    """What a finding's position identity is made of, over its columns."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat_ws("|", text("file"), text("start_line"), text("end_line"), joined_cwe(F.col("cwe")), problem_type(F.col("normalized_type"), F.col("cwe"), F.col("rule_id")))
+
+
 def position_fingerprint(scan: DataFrame) -> DataFrame:
     """finding_no, fp: SHA-256 of file, span, weaknesses and type."""
     rows = normal_findings(scan, "file", "start_line", "end_line", "cwe", "normalized_type", "rule_id")
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    parts = F.concat_ws("|", text("file"), text("start_line"), text("end_line"), joined_cwe(F.col("cwe")), problem_type(F.col("normalized_type"), F.col("cwe"), F.col("rule_id")))
-    return rows.select("finding_no", F.sha2(parts, 256).alias("fp"))
+    return rows.select("finding_no", F.sha2(position_parts(), 256).alias("fp"))
 
 
 def code_identity(snippet: Column, most: int = 24) -> Column:
@@ -63,14 +67,19 @@ def code_identity(snippet: Column, most: int = 24) -> Column:
     return F.array_join(F.slice(F.filter(lines, lambda x: x != ""), 1, most), "\n")
 
 
-def semantic_identity(scan: DataFrame) -> DataFrame:
-    """finding_no, fp: an identity that survives moved lines; the span joins it only where nothing else tells."""
-    rows = normal_findings(scan, "file", "start_line", "end_line", "cwe", "normalized_type", "rule_id", "source_kind", "sink_kind", "code_snippet")
+def semantic_parts() -> Column:
+    """What a finding's semantic identity is made of, over its columns; the span joins it only where nothing else tells."""
     code = code_identity(F.col("code_snippet"))
     said = F.concat(blank_free(F.col("source_kind")), blank_free(F.col("sink_kind")), code)
     span = F.when(said == "", F.concat_ws("|", F.lit(""), F.col("start_line").cast("string"), F.col("end_line").cast("string"))).otherwise("")
     parts = F.concat_ws("|", F.lit("v2"), F.coalesce("file", F.lit("")), problem_type(F.col("normalized_type"), F.col("cwe"), F.col("rule_id")), joined_cwe(F.col("cwe")), blank_free(F.col("source_kind")), blank_free(F.col("sink_kind")), code)
-    return rows.select("finding_no", F.sha2(F.concat(parts, span), 256).alias("fp"))
+    return F.concat(parts, span)
+
+
+def semantic_identity(scan: DataFrame) -> DataFrame:
+    """finding_no, fp: an identity that survives moved lines."""
+    rows = normal_findings(scan, "file", "start_line", "end_line", "cwe", "normalized_type", "rule_id", "source_kind", "sink_kind", "code_snippet")
+    return rows.select("finding_no", F.sha2(semantic_parts(), 256).alias("fp"))
 
 
 def corroborated(detected_by: Column, tool: Column, correlation: Column) -> Column:

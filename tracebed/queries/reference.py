@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracebed.operators import code, duplicates, findings, flows, metrics, packages, state, summary
+from tracebed.operators import code, correlation, duplicates, findings, flows, metrics, packages, state, summary
 from tracebed.sources.tables import table
 
 QUERIES: dict = {}
@@ -231,6 +231,50 @@ def merged_findings(spark, d):
     return findings.merged_findings(table(spark, d, "scan_findings"))
 
 
+# two findings are compared one by one in SQL; the common blocks of two types are cut out longest first
+_BLOCK = "list_max(flatten([[{{'k': l, 'i': -i}} for l in range(1, length({0}) - i + 2) if contains({1}, substr({0}, i, l))] for i in range(1, length({0}) + 1)]))"
+_LINKED = f"""{once('file', 'start_line', 'end_line', 'cwe', 'category', 'normalized_type', 'rule_id', 'source_kind', 'sink_kind', 'code_snippet', 'fingerprint', 'semantic_fingerprint')}
+, d as (select f.finding_no, lower(coalesce(file, '')) path, greatest(coalesce(start_line, 1), 1) lo, greatest(coalesce(start_line, 1), 1, coalesce(end_line, 1)) hi, list_sort(list_distinct([trim(c) for c in coalesce(cwe, []) if trim(c) <> ''])) cwes, coalesce(trim(category), '') category,
+  {KIND} kind, coalesce(trim(source_kind), '') source, coalesce(trim(sink_kind), '') sink, coalesce(nullif(lower(trim(fingerprint)), ''), p.fp) fp, coalesce(nullif(lower(trim(semantic_fingerprint)), ''), s.fp) sfp
+  from f join ({ORACLE['fingerprint_position']}) p using (finding_no) join ({ORACLE['fingerprint_semantic']}) s using (finding_no)
+), c as (select min(finding_no) rep, path, lo, hi, cwes, category, kind, source, sink from d where len(cwes) > 0 group by all
+), p as (
+  select x.rep a, y.rep b, x.kind ka, y.kind kb, x.lo = y.lo and x.hi = y.hi and x.category = y.category same,
+    0.28::double * case when least(x.hi, y.hi) >= greatest(x.lo, y.lo) then (least(x.hi, y.hi) - greatest(x.lo, y.lo) + 1) / (greatest(x.hi, y.hi) - least(x.lo, y.lo) + 1) when greatest(x.lo, y.lo) - least(x.hi, y.hi) <= 2 then 0.5::double else 0.0::double end
+    + 0.22::double * (len(list_intersect(x.cwes, y.cwes)) / len(list_distinct(x.cwes || y.cwes)))
+    + 0.08::double * case when x.source <> '' and x.source = y.source then 1 else 0 end + 0.08::double * case when x.sink <> '' and x.sink = y.sink then 1 else 0 end base
+  from c x join c y on x.path = y.path and x.rep < y.rep and list_has_any(x.cwes, y.cwes)
+), m as (
+  select ka, kb, ka s, kb t, {_BLOCK.format('ka', 'kb')} w from (select distinct ka, kb from p)
+  union all select ka, kb, u.s, u.t, {_BLOCK.format('u.s', 'u.t')} from (
+    select ka, kb, unnest([{{'s': substr(s, 1, -w.i - 1), 't': substr(t, 1, j - 1)}}, {{'s': substr(s, -w.i + w.k), 't': substr(t, j + w.k)}}]) u from (select *, instr(t, substr(s, -w.i, w.k)) j from m where w is not null)
+  ) where u.s <> '' and u.t <> ''
+), ratio as (select ka, kb, coalesce(2.0::double * sum(w.k) / nullif(length(ka) + length(kb), 0), 0) r from m group by 1, 2
+), links as (select * from (select a, b, case when same then 0.96::double else round(base + 0.22::double * r, 6) end score from p join ratio using (ka, kb)) where score >= 0.72)"""
+
+
+@query(f"with recursive {_LINKED} select a, b, score from links")
+def correlated_links(spark, d):
+    return correlation.correlated_links(table(spark, d, "scan_findings"))
+
+
+@query(f"""with recursive {_LINKED}, one as (
+  select finding_no a, min(finding_no) over (partition by fp) b, 1.0::double score from d union all select finding_no, min(finding_no) over (partition by sfp), 1.0::double from d
+  union all select finding_no, min(finding_no) over (partition by path, lo, hi, cwes, category, kind, source, sink), 0.96::double from d where len(cwes) > 0 union all select a, b, score from links
+), edges as (select a, b, score from one where a <> b), near as (select a, b from edges union select b, a from edges
+), reach as (select finding_no n, finding_no x from d union select n, near.b from reach join near on near.a = reach.x
+), g as (select n finding_no, min(x) group_no from reach group by 1
+), best as (select group_no, max(score) linked from edges join g on g.finding_no = edges.a group by 1
+), v as (select distinct finding_no, upper(trim(severity)) severity, tool, detected_by, cwe, message, code_snippet, reachable, exploitability_score, confidence_score, correlation_score from scan_findings
+), r as (select *, {RANK} sr from v join g using (finding_no)
+), e as (select group_no, array_to_string(list_sort(list_distinct([trim(x) for x in flatten(list(case when len(detected_by) > 0 then detected_by else [tool] end)) if trim(x) <> ''])), ',') engines, array_to_string(list_sort(list_distinct([trim(x) for x in flatten(list(coalesce(cwe, []))) if trim(x) <> ''])), ',') cwes from r group by 1
+), t as (select group_no, arg_min(finding_no, (sr, finding_no)) finding_no, count(*) n, arg_min(finding_no, (sr, finding_no)) filter (trim(code_snippet) <> '') snippet_from, arg_min(finding_no, (-length(coalesce(message, '')), sr, finding_no)) message_from,
+  arg_min(reachable, (sr, finding_no)) filter (reachable is not null) reachable, max(exploitability_score) exploitability_score, max(confidence_score) confidence_score, max(coalesce(correlation_score, 0)) own from r group by 1)
+select group_no, t.finding_no, n, engines, cwes, snippet_from, message_from, reachable, exploitability_score, confidence_score, greatest(own, coalesce(linked, 0)) correlation_score from t join e using (group_no) left join best using (group_no)""")
+def correlated_findings(spark, d):
+    return correlation.correlated_findings(table(spark, d, "scan_findings"))
+
+
 @query(f"with {once('severity', 'suppressed')} select s.severity, count(f.finding_no) n from (select unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO']) severity) s left join f on f.severity = s.severity and {ACTIVE} group by 1")
 def severity_counts(spark, d):
     return metrics.severity_counts(table(spark, d, "scan_findings"))
