@@ -162,6 +162,24 @@ def duplicate_near_pairs(spark, d):
     return duplicates.near_file_pairs(table(spark, d, "tokenized_lines"))
 
 
+@query("""with recursive o as (select file_no, start_line, coalesce(end_line, start_line) end_line, min(list_sort(list_distinct([lower(trim(t)) for t in token_hashes if trim(t) <> '']))) w from duplicate_blocks where file_no is not null and start_line is not null group by 1, 2, 3
+), p as (select *, md5(array_to_string(w, '|')) c from o where len(w) > 0
+), t as (select distinct c, unnest(w) t, len(w) n from p
+), alike as (select x.c a, y.c b from t x join t y on x.t = y.t group by 1, 2 having count(*) >= ceil(0.7 * greatest(any_value(x.n), any_value(y.n)))
+), e as (select distinct a, b from alike where exists (select 1 from p x, p y where x.c = a and y.c = b and (x.file_no <> y.file_no or x.end_line < y.start_line or y.end_line < x.start_line))
+), label as (select c, c g, 0 round from (select a c from e union select b from e)
+  union all select c, g, round + 1 from (select l.c, least(min(l.g), min(k.g)) g, any_value(l.round) round, min(l.g) old from label l join e on e.a = l.c join label k on k.c = e.b group by l.c) where (select count(*) from label l join e on e.a = l.c join label k on k.c = e.b where l.g <> k.g) > 0
+), g as (select c, arg_max(g, round) g from label group by 1
+), f as (select g, p.* from p join g using (c)
+), s as (select g, count(*) n, sum(end_line - start_line + 1) lines, min((file_no, start_line, end_line)) first from f group by 1
+), d as (select file_no, start_line, end_line, case when n >= 5 or lines >= 80 then 'HIGH' when n >= 3 or lines >= 40 then 'MEDIUM' else 'LOW' end severity, n, first from f join s using (g) where (file_no, start_line, end_line) <> first
+), i as (select *, case when start_line > coalesce(max(end_line) over (partition by file_no order by start_line, end_line rows between unbounded preceding and 1 preceding), -9) + 1 then 1 else 0 end opens from d
+), r as (select *, sum(opens) over (partition by file_no order by start_line, end_line rows unbounded preceding) region from i)
+select file_no, min(start_line) start_line, max(end_line) end_line, arg_min(severity, (start_line, end_line)) severity, arg_min(n, (start_line, end_line)) n, arg_min(first[1], (start_line, end_line)) primary_file, arg_min(first[2], (start_line, end_line)) primary_line from r group by file_no, region""")
+def duplicate_findings(spark, d):
+    return duplicates.duplicate_findings(table(spark, d, "duplicate_blocks"))
+
+
 # findings
 
 
