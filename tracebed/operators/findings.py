@@ -186,8 +186,8 @@ def failing(scan: DataFrame, level: str) -> DataFrame:
     return rows.where(severity_rank(F.col("severity")) <= SEVERITIES.index(level.upper())).select("finding_no", "severity")
 
 
-def numbered(scan: DataFrame, prefix: str = "F", year: int = 2026) -> DataFrame:
-    """finding_no, report_id: ids in order of severity, confidence, file, line and number.
+def positions(scan: DataFrame) -> DataFrame:
+    """finding_no, position from 1 in order of severity, confidence, file, line and number.
 
     The order is global, so it is built from ranges: rows are range-partitioned by the sort key, sorted within each range, and
     numbered by the counts of the ranges before theirs, one row each.
@@ -201,7 +201,12 @@ def numbered(scan: DataFrame, prefix: str = "F", year: int = 2026) -> DataFrame:
     placed = scratch.keep(ranged.withColumn("id", F.monotonically_increasing_id()).select("finding_no", F.shiftright("id", 33).alias("range"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "ranges")
     counts = placed.groupBy("range").agg(F.count("*").alias("n"))
     before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
-    return placed.join(F.broadcast(before), "range").select("finding_no", F.format_string(f"{prefix}-{year}-%06d", F.col("before") + F.col("at") + 1).alias("report_id"))
+    return placed.join(F.broadcast(before), "range").select("finding_no", (F.col("before") + F.col("at") + 1).alias("position"))
+
+
+def numbered(scan: DataFrame, prefix: str = "F", year: int = 2026) -> DataFrame:
+    """finding_no, report_id: ids in the order of ``positions``."""
+    return positions(scan).select("finding_no", F.format_string(f"{prefix}-{year}-%06d", "position").alias("report_id"))
 
 
 def merged_findings(scan: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracebed.operators import code, correlation, duplicates, findings, flows, metrics, packages, state, summary
+from tracebed.sources import reports
 from tracebed.sources.tables import table
 
 QUERIES: dict = {}
@@ -241,6 +242,15 @@ def report_ids(spark, d):
     return findings.numbered(table(spark, d, "scan_findings"))
 
 
+@query(f"""with {once('rule_id', 'severity', 'confidence', 'tool', 'file', 'start_line', 'end_line', 'message', 'fingerprint', 'semantic_fingerprint', 'suppressed')}, k as (
+  select *, row_number() over (order by {RANK}, case upper(coalesce(trim(confidence), '')) when 'HIGH' then 0 when 'MEDIUM' then 1 when 'LOW' then 2 else 3 end, coalesce(file, ''), coalesce(start_line, 0), finding_no) n from f where {ACTIVE})
+select (n - 1) // 500 log_no, finding_no, coalesce(rule_id, '') rule_id, coalesce(rule_id, '') "named", case when severity in ('CRITICAL', 'HIGH') then 'error' when severity = 'MEDIUM' then 'warning' else 'note' end "level",
+  replace(url_encode(coalesce(file, '')), '%2F', '/') uri, greatest(coalesce(start_line, 1), 1) start_line, greatest(coalesce(start_line, 1), coalesce(end_line, 1), 1) end_line,
+  cast(length(coalesce(nullif(message, ''), rule_id, '')) as integer) message_chars, cast((coalesce(fingerprint, '') <> '')::integer + (coalesce(semantic_fingerprint, '') <> '')::integer as integer) prints from k""")
+def sarif_results(spark, d):
+    return reports.sarif_results(reports.sarif_logs(table(spark, d, "scan_findings"), per_log=500))
+
+
 @query(f"""with {once('file', 'start_line', 'end_line', 'cwe', 'normalized_type', 'rule_id', 'severity', 'detected_by', 'message', 'confidence_score')}, g as (select *, {KIND} kind, {RANK} sr from f
 ), e as (select coalesce(file, '') file, start_line, end_line, kind, array_to_string(list_sort(list_distinct(flatten(list(coalesce(detected_by, []))))), ',') engines from g group by 1, 2, 3, 4)
 select coalesce(g.file, '') file, g.start_line, g.end_line, g.kind, arg_min(finding_no, (sr, finding_no)) finding_no, min(sr) severity_rank, count(*) n, any_value(engines) engines, max(length(coalesce(message, ''))) message_chars, max(confidence_score) confidence_score

@@ -63,18 +63,63 @@ def text_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(part(1) != "").select(F.lit("govet").alias("tool"), F.lit("vet").alias("rule_id"), F.lit("MEDIUM").alias("severity"), part(1).alias("file"), part(2).cast("int").alias("start_line"), part(2).cast("int").alias("end_line"), part(3).alias("message"))
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """finding_no, result: each finding as a SARIF result in JSON, the level by severity, rules numbered by name."""
-    rules = findings.select("rule_id").distinct()
-    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine")).alias("region")).alias("physicalLocation"))
+# fixed values: version and schema of a SARIF log
+SARIF_VERSION, SARIF_SCHEMA = "2.1.0", "https://json.schemastore.org/sarif-2.1.0.json"
+#: what ``sarif_results`` reads of a log
+SARIF_READ = (
+    "runs array<struct<tool: struct<driver: struct<name: string, rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, ruleIndex: int, level: string, message: struct<text: string>, "
+    "locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, endLine: int>>>>, fingerprints: map<string, string>, properties: struct<findingNo: bigint, tool: string, severity: string>>>>>"
+)
+
+
+def _uri(path):
+    """A path with all but letters, digits, ``-_.~`` and slashes as percent escapes."""
+    out = F.url_encode(path)
+    for a, b in (("%2F", "/"), ("+", "%20"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def sarif_logs(scan: DataFrame, name: str = "tracebed", per_log: int = 10_000) -> DataFrame:
+    """log_no, log: findings that aren't suppressed as SARIF logs in JSON, in report order, ``per_log`` results each.
+
+    A log holds the rules that its results name, in order of their names, and every result points at its rule's place there. Logs have a
+    bounded size, so no task holds more than one's results at a time; write them with ``select("log").write.text(path)``. Lines are 1 at least, a null file is
+    '', a missing message is the rule's name; rows without finding_no are left out, repeated rows count once.
+    """
+    from tracebed.operators.findings import normal_findings, positions
+
+    kept = scan.where("finding_no is not null and (suppressed is null or not suppressed)")
+    rows = normal_findings(kept, "rule_id", "severity", "tool", "file", "start_line", "end_line", "message", "fingerprint", "semantic_fingerprint").join(positions(kept), "finding_no")
+    start = F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1))
+    region = F.struct(start.alias("startLine"), F.greatest(start, F.coalesce("end_line", F.lit(1))).alias("endLine"))
+    place = F.struct(F.struct(F.struct(_uri(F.coalesce("file", F.lit(""))).alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
-        F.col("rule_id").alias("ruleId"),
-        _mapped(F.trim("severity"), SARIF_LEVELS, "note").alias("level"),
-        F.struct(F.col("message").alias("text")).alias("message"),
+        "position",
+        F.coalesce("rule_id", F.lit("")).alias("ruleId"),
+        _mapped(F.col("severity"), SARIF_LEVELS, "note").alias("level"),
+        F.struct(F.coalesce(F.nullif("message", F.lit("")), "rule_id", F.lit("")).alias("text")).alias("message"),
         F.array(place).alias("locations"),
-        F.create_map(F.lit("primary"), F.col("fingerprint")).alias("partialFingerprints"),
+        F.map_filter(F.create_map(F.lit("position/v1"), F.col("fingerprint"), F.lit("semantic/v2"), F.col("semantic_fingerprint")), lambda _, v: F.coalesce(v, F.lit("")) != "").alias("fingerprints"),
+        F.struct(F.col("finding_no").alias("findingNo"), "tool", "severity").alias("properties"),
     )
-    return findings.join(rules, "rule_id", "left_semi").select("finding_no", F.to_json(result).alias("result"))
+    logs = rows.select(F.expr(f"(position - 1) div {int(per_log)}").alias("log_no"), result.alias("r")).groupBy("log_no").agg(F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["position"] < b["position"], -1).when(a["position"] > b["position"], 1).otherwise(0)).alias("rs"))
+    logs = logs.withColumn("ids", F.array_sort(F.array_distinct(F.transform("rs", lambda r: r["ruleId"]))))
+    results = F.transform("rs", lambda r: F.struct(r["ruleId"].alias("ruleId"), (F.array_position("ids", r["ruleId"]) - 1).cast("int").alias("ruleIndex"), *(r[k].alias(k) for k in ("level", "message", "locations", "fingerprints", "properties"))))
+    driver = F.struct(F.struct(F.lit(name).alias("name"), F.transform("ids", lambda i: F.struct(i.alias("id"))).alias("rules")).alias("driver"))
+    log = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(F.struct(driver.alias("tool"), results.alias("results"))).alias("runs"))
+    return logs.select("log_no", F.to_json(log).alias("log"))
+
+
+def sarif_results(logs: DataFrame) -> DataFrame:
+    """log_no, finding_no, rule_id, named, level, uri, start_line, end_line, message_chars, prints of the results in logs; ``named`` is the rule that the result's index points at."""
+    runs = logs.select("log_no", F.explode(F.from_json("log", SARIF_READ)["runs"]).alias("run"))
+    rows = runs.select("log_no", F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
+    at = F.col("r.locations")[0]["physicalLocation"]
+    return rows.select(
+        "log_no", F.col("r.properties.findingNo").alias("finding_no"), F.col("r.ruleId").alias("rule_id"), F.col("rules")[F.col("r.ruleIndex")]["id"].alias("named"), F.col("r.level").alias("level"),
+        at["artifactLocation"]["uri"].alias("uri"), at["region"]["startLine"].alias("start_line"), at["region"]["endLine"].alias("end_line"), F.length("r.message.text").alias("message_chars"), F.size("r.fingerprints").alias("prints"),
+    )
 
 
 def source_tree(spark: SparkSession, root: str, max_bytes: int = 5_000_000, exclude: str | None = None) -> DataFrame:
