@@ -178,3 +178,39 @@ def test_long_sets_of_short_words_with_few_long_ones(spark):
         scan += [(len(scan) + i + 1, 1 + i, None, None, " ".join(w)) for i, w in enumerate((base, near))]
     want = brute(scan)
     assert len(want) >= 10 and found(spark, scan) == want
+
+
+def jobs_so_far(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def chain(n):
+    """Rows of which each shares a fingerprint of one kind with the next and with no other."""
+    return [(i + 1, 1, f"f{i // 2}", f"s{(i + 1) // 2}", None) for i in range(n)]
+
+
+def test_jobs_of_the_driver_do_not_grow_with_a_chain_of_like_rows(spark):
+    short, long = chain(4), chain(14)
+    start = jobs_so_far(spark)
+    assert found(spark, short) == brute(short) == {2, 4}
+    middle = jobs_so_far(spark)
+    assert found(spark, long) == brute(long) == set(range(2, 15, 2))
+    assert jobs_so_far(spark) - middle <= middle - start + 5
+
+
+def test_first_run_asks_no_history(spark, monkeypatch):
+    codes = snippets(random.Random(4), 30)
+    scan = [(i + 1, 1, None, None, c) for i, c in enumerate(codes)]
+    for name in ("covered", "uncovered_like"):
+        monkeypatch.setattr(batches, name, lambda *_: pytest.fail("an empty history was looked up"))
+    assert found(spark, scan) == brute(scan)
+
+
+def test_rounds_and_one_task_settle_alike(spark, monkeypatch):
+    rng = random.Random(12)
+    codes = snippets(rng, 80, base=4)
+    scan = [(i + 1, 1 + i // 60, rng.choice([None, f"f{rng.randint(0, 40)}"]), rng.choice([None, f"s{rng.randint(0, 60)}"]), codes[i]) for i in range(80)]
+    want = brute(scan)
+    for most in (0, 60, 200_000):
+        monkeypatch.setattr(batches, "SETTLE_ROWS", most)
+        assert found(spark, scan) == want
