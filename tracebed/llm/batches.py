@@ -15,7 +15,6 @@ import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
@@ -417,8 +416,8 @@ def judge_run(rows: DataFrame, features: DataFrame, first: int, last: int, histo
     kept = mine.join(accepted.where("cls is not null").select("cls").distinct(), "cls", "left_semi")
     parts = {"keys": _members(named), "postings": _postings(kept, 0, 1), "sets": kept.select("rec", "words", "chunks")}
     history.spoilt, clean = True, not history.spoilt
-    with ThreadPoolExecutor(len(parts)) as pool:  # three jobs side by side
-        list(pool.map(lambda t: history.append(parts[t], t, run), parts))
+    for table, added in parts.items():  # one after the other: side by side the driver holds three plans and their stages at once
+        history.append(added, table, run)
     history.commit(run)
     history.spoilt = not clean
 
