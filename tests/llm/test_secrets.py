@@ -1,5 +1,6 @@
 import pytest
 
+from tracebed.llm import secrets
 from tracebed.llm.secrets import MASK, credential_lines, is_credential, line_spans, randomness, redacted, redacted_texts, text_spans
 
 YES = [
@@ -90,6 +91,38 @@ def test_many_values_on_a_long_line_cost_in_proportion():
     assert took[1] < 12 * took[0]
 
 
+class Counted:
+    """A pattern that counts how often it is asked."""
+
+    def __init__(self, pattern):
+        self.pattern, self.n = pattern, 0
+
+    def __getattr__(self, name):
+        self.n += 1
+        return getattr(self.pattern, name)
+
+
+@pytest.mark.parametrize("name", ["_STANDS_FOR", "_REFERENCE"])
+def test_ordinary_code_is_ruled_out_before_the_costly_patterns(monkeypatch, name):
+    code = [f"const renderVectorIngot{i} = collectChannelNeedle(queueUmberInvoice{i}, bind_ledger_pebble.rank_vessel_{i}, drainLoginBasin{i});" for i in range(100, 300)]
+    secrets.is_credential.cache_clear()
+    monkeypatch.setattr(secrets, name, counted := Counted(getattr(secrets, name)))
+    assert sorted(text_spans([*code, YES[0][0]])) == [200]
+    assert counted.n <= 2
+
+
+def test_where_nothing_is_announced_no_value_is_judged_as_announced(monkeypatch):
+    code = [f"const renderVectorIngot{i} = collectChannelNeedle(queueUmberInvoice{i}, \"bind_ledger_pebble.rank_vessel_{i}\");" for i in range(100, 300)]
+    asked, judge = [], secrets.is_credential
+    monkeypatch.setattr(secrets, "is_credential", lambda value, announced, place=False: asked.append(announced or place) or judge(value, announced, place))
+    assert text_spans(code) == {} and len(asked) > 200 and not any(asked)
+
+
+@pytest.mark.parametrize("line", ["call(\"kT9/xQ2mPz+84LsVb0WnRy7cHj5FdUoE1gAi3BtX\")", "x: kT9/xQ2mPz+84LsVb0WnRy7cHj5FdUoE1gAi3BtX, url = q7RkLp2vXz9Tw5Yb1NcV", "v('vNr4OJZ0Wgg' + '9fZU6QhLNlyX')", "<v>q#R7kL?p2v(Xz9T;w5Yb1,Nc</v>", "ENV ABC x(R7kL?p2v;Xz9T,w5Yb1Nc"])
+def test_a_line_without_stems_is_read_as_any(line):
+    assert line_spans(line, True) == line_spans(line) != []
+
+
 FILES = "file_no bigint, lines array<string>, origin string"
 SCAN = "finding_no bigint, code_snippet string, secret_related_locations array<string>, line_no int"
 

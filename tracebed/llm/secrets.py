@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -59,7 +59,18 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _KEY_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+?)-----")
 _BODY = re.compile(r"^\s*(?://|#|--|\*|;)?\s*[A-Za-z0-9+/=\\n]{8,}[\"'`;,)]*\s*$")
 _VOWEL = re.compile(r"[aeiouyAEIOUYäöüéèêáíóúàâôû]")
+_NO_VOWELS = re.compile(r"[^aeiouyAEIOUYäöüéèêáíóúàâôû]{5}")
 _WORDS = re.compile(r"[^\W\d_]+")
+#: what is left of an ASCII value's words when names are taken apart
+_PIECES = re.compile(r"[A-Z]+[a-z]*|[a-z]+")
+_SMALL, _LARGE, _SIGN = re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[^A-Za-z0-9]")
+_LETTER, _BLANK, _BRACKET = re.compile(r"[A-Za-z]"), re.compile(r"\s"), re.compile(r"[()\[\]{}]")
+_ALPHABETS = [(16, re.compile(r"[0-9a-f-]+|[0-9A-F-]+")), (36, re.compile(r"[0-9a-z_-]+|[0-9A-Z_-]+")), (64, re.compile(r"[A-Za-z0-9+/=_.-]+"))]
+_FIGURES = re.compile(r"[\d.,:%_-]+")
+_HEX = re.compile(r"(?:0x)?[0-9a-fA-F]+")
+_DOTTED = re.compile(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+")
+_IDENTIFIER = re.compile(r"[a-z]+(?:[_/.-][a-z]+)*[_-]?\d{0,3}|[A-Z]+(?:_[A-Z]+)*_?\d{0,3}|(?:[a-z]+)(?:[A-Z][a-z]+)*\d{0,3}")
+_FILE_END = re.compile(r"\.(?:\w{1,5})$")
 
 #: places a value can stand in, tried in this order; group v is the value, group n (where there is one) its name
 _PLACES = [
@@ -86,8 +97,10 @@ _ISSUERS = (
     "xoxa-", "xoxb-", "xoxe-", "xoxp-", "xoxr-", "xoxs-", "npm_", "AIza", "eyJ", "SG.", "pypi-", "dop_v1_"
 )
 #: what a value that nothing announces must lie in: a run with a digit, bare or after a quote or a tag
-_LONG = re.compile(r"[^\s\"'`;,&|()<>\[\]{}]{%d,}|[\"'`>]\S{%d,}" % (STRICT_LENGTH, STRICT_LENGTH))
-_QUOTE_FIRST = re.compile(r"\s*[+.]?\s*[\"']")
+_LONG = re.compile(r"(?<![^\s\"'`;,&|()<>\[\]{}])[^\s\"'`;,&|()<>\[\]{}]{%d,}|[\"'`>]\S{%d,}" % (STRICT_LENGTH, STRICT_LENGTH))
+_QUOTE_FIRST = re.compile(r"\s*(?:[+.]\s*)?[\"']")
+#: a line of a text, not its first, that begins so
+_QUOTE_LATER = re.compile(r"\n[^\S\n]*(?:[+.][^\S\n]*)?[\"']")
 #: letters that a pattern takes for others when case is ignored, though they have another small letter
 _FOLDED = str.maketrans({"İ": "i", "ı": "i", "ſ": "s", "ᲂ": "о"})
 _DIGIT = re.compile(r"\d")
@@ -103,13 +116,7 @@ def alphabet_size(value: str) -> int:
     """Characters of the smallest usual alphabet that ``value`` is written in: digits, hex, letters and digits, base64, printable."""
     if value.isdigit():
         return 10
-    if re.fullmatch(r"[0-9a-f-]+|[0-9A-F-]+", value):
-        return 16
-    if re.fullmatch(r"[0-9a-z_-]+|[0-9A-Z_-]+", value):
-        return 36
-    if re.fullmatch(r"[A-Za-z0-9+/=_.-]+", value):
-        return 64
-    return 94
+    return next((n for n, signs in _ALPHABETS if signs.fullmatch(value)), 94)
 
 
 def randomness(value: str) -> float:
@@ -120,49 +127,61 @@ def randomness(value: str) -> float:
     return shannon(value) / expected if expected > 0 else 0.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_length(piece: str) -> int:
+    """Letters of a piece in one case pattern with a vowel and without a run of five other letters, 0 if it is none."""
+    whole = len(piece) >= 3 and (piece.islower() or piece.isupper() or piece.istitle()) and _VOWEL.search(piece) and not _NO_VOWELS.search(piece)
+    return len(piece) if whole else 0
+
+
 def wordlike(value: str) -> float:
     """Share of the letters and digits that stand in whole words: pieces of three letters or more in one case pattern, with a vowel."""
-    letters = sum(c.isalnum() for c in value)
+    letters = sum(map(str.isalnum, value))
     if not letters:
         return 1.0
-    pieces = [w for part in _WORDS.findall(value) for w in _CAMEL.split(part)]
-    good = sum(len(w) for w in pieces if len(w) >= 3 and _VOWEL.search(w) and (w.islower() or w.isupper() or w.istitle()) and not re.search(r"[^aeiouyAEIOUYäöüéèêáíóúàâôû]{5}", w))
-    return good / letters
+    pieces = _PIECES.findall(value) if value.isascii() else [w for part in _WORDS.findall(value) for w in _CAMEL.split(part)]
+    return sum(map(_word_length, pieces)) / letters
 
 
 def _classes(value: str) -> int:
-    return sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
+    return sum(bool(p.search(value)) for p in (_SMALL, _LARGE, _DIGIT, _SIGN))
+
+
+def _random_enough(value: str, announced: bool) -> bool:
+    """Whether a value looks like a credential; what rules out most values for little comes first."""
+    digit = _DIGIT.search(value)
+    if not announced:
+        if len(value) < STRICT_LENGTH or not digit or (words := wordlike(value)) > 0.45 or not _LETTER.search(value):
+            return False
+        if _HEX.fullmatch(value):
+            return False  # a hash
+        if words > 0.3 and (value.count("/") > 1 or _FILE_END.search(value)):
+            return False  # a path or a file
+        return randomness(value) >= STRICT
+    if not digit:
+        # no digit: a random mix of cases in a long string, else a word, a path or a label
+        return len(value) >= 12 and wordlike(value) < 0.6 and _classes(value) >= 3 and randomness(value) >= LENIENT
+    words = wordlike(value)
+    if words > 0.6 and (_IDENTIFIER.fullmatch(value) or _DOTTED.fullmatch(value) and not _ISSUED.match(value)):
+        return False  # an identifier or a dotted reference
+    classes = _classes(value)
+    if classes < 2 or classes == 2 and (len(value) < 12 or words >= 0.7):
+        return False
+    return not _FIGURES.fullmatch(value) and not _BRACKET.search(value) and randomness(value) >= LENIENT
 
 
 @lru_cache(maxsize=1 << 16)
 def is_credential(value: str, announced: bool, password_place: bool = False) -> bool:
     """Whether a value, in a place that announces a credential or not, is one."""
-    if len(value) < (LENIENT_LENGTH if announced or password_place else STRICT_LENGTH - 5):
+    announced = announced or password_place
+    if len(value) < (LENIENT_LENGTH if announced else STRICT_LENGTH - 5):
         return False
-    if _REFERENCE.search(value) or _STANDS_FOR.search(value) or _UUID.fullmatch(value) or _DIGEST.match(value):
+    if not _random_enough(value, announced) and not _ISSUED.fullmatch(value):
         return False
-    if any(c.isspace() for c in value) or value.startswith("//") or _HOST.fullmatch(value):
+    # few values come this far: only they are held against what stands for a credential without being one
+    if _BLANK.search(value) or value.startswith("//") or _HOST.fullmatch(value):
         return False
-    if _ISSUED.fullmatch(value):
-        return True
-    if announced or password_place:
-        if not _DIGIT.search(value):
-            # no digit: a random mix of cases in a long string, else a word, a path or a label
-            return len(value) >= 12 and wordlike(value) < 0.6 and _classes(value) >= 3 and randomness(value) >= LENIENT
-        if re.fullmatch(r"[\d.,:%_-]+", value) or re.search(r"[()\[\]{}]", value):
-            return False
-        if re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+", value) and not _ISSUED.match(value) and wordlike(value) > 0.6:
-            return False  # a dotted reference
-        if re.fullmatch(r"[a-z]+(?:[_/.-][a-z]+)*[_-]?\d{0,3}|[A-Z]+(?:_[A-Z]+)*_?\d{0,3}|(?:[a-z]+)(?:[A-Z][a-z]+)*\d{0,3}", value) and wordlike(value) > 0.6:
-            return False  # an identifier
-        return randomness(value) >= LENIENT and (_classes(value) >= 3 or (_classes(value) >= 2 and len(value) >= 12 and wordlike(value) < 0.7))
-    if len(value) < STRICT_LENGTH or not _DIGIT.search(value) or not re.search(r"[A-Za-z]", value):
-        return False
-    if re.fullmatch(r"(?:0x)?[0-9a-fA-F]+", value) or wordlike(value) > 0.45:
-        return False  # a hash or an identifier
-    if value.count("/") > 1 and wordlike(value) > 0.3 or re.search(r"\.(?:\w{1,5})$", value) and wordlike(value) > 0.3:
-        return False  # a path or a file
-    return randomness(value) >= STRICT
+    return not (_REFERENCE.search(value) or _STANDS_FOR.search(value) or _UUID.fullmatch(value) or _DIGEST.match(value))
 
 
 @lru_cache(maxsize=16)
@@ -222,15 +241,48 @@ _OPEN_STRING = re.compile(r"[(+\\,.]?\s*(?P<q>[\"'])(?P<v>[^\"']{8,})(?P=q)\s*[+
 _ONLY_STRING = re.compile(r"^\s*[+.]?\s*(?P<q>[\"'])(?P<v>[^\"']{4,})(?P=q)\s*[)+\;,.]*\s*$")
 
 
-def line_spans(line: str) -> list[tuple[int, int]]:
-    """(start, end) of the credentials of one line."""
-    spans: list[tuple[int, int]] = []
+def _open_places(line: str, plain: bool) -> Iterator[int]:
+    """The places of which a line has the signs; in a plain one those whose values nothing needs to announce."""
+    quoted = "\"" in line or "'" in line
+    marked = quoted or "`" in line
+    given = "=" in line or ":" in line
+    if not plain:
+        if "://" in line:
+            yield 0
+        if "-u" in line:
+            yield 1
+        yield 2
+    if "</" in line:
+        yield 3
+    if quoted and not plain:
+        yield 4
+        yield 5
+    if quoted:
+        yield 6
+    if given and marked:
+        yield 7
+    if given:
+        yield 8
+    if "ENV" in line or "ARG" in line:
+        yield 9
+    if marked:
+        yield 10
+    yield 11
+
+
+def line_spans(line: str, plain: bool = False) -> list[tuple[int, int]]:
+    """(start, end) of the credentials of one line; ``plain``: it is known to hold no stem and no issuer's beginning, so that nothing in it is announced."""
+    spans: list[tuple[int, int]] = []  # in order, none over another
+
+    def taken(a: int, b: int) -> bool:
+        before = bisect_left(spans, (b,))
+        return before > 0 and spans[before - 1][1] > a
 
     def add(a: int, b: int) -> None:
-        if not any(a < y and x < b for x, y in spans):
-            spans.append((a, b))
+        if not taken(a, b):
+            insort(spans, (a, b))
 
-    for m in _ISSUED.finditer(line):
+    for m in () if plain else _ISSUED.finditer(line):
         if (m.start() == 0 or not re.match(r"[A-Za-z0-9]", line[m.start() - 1])) and not _STANDS_FOR.search(m.group()):
             end = m.end()
             add(m.start(), end)
@@ -244,27 +296,29 @@ def line_spans(line: str) -> list[tuple[int, int]]:
                 spans.clear()
                 for p in parts:
                     add(p.start("v"), p.end("v"))
-                return sorted(spans)
-    for k, place in enumerate(_PLACES):
-        for m in place.finditer(line):
+                return spans
+    least = STRICT_LENGTH if plain else 1
+    for k in _open_places(line, plain):
+        for m in _PLACES[k].finditer(line):
             a, b = m.span("v")
+            if b - a < least:
+                continue
             value = m["v"]
             while value and value[-1] in ",;\\":
                 value, b = value[:-1], b - 1
-            if not value or any(x < b and a < y for x, y in spans):
+            if not value or taken(a, b):
                 continue
-            name = m.groupdict().get("n")
             if k < 3 or k == 5:
                 ok = is_credential(value, True, True)
             else:
                 # what surrounds it is read only where it can decide
-                if len(value) < LENIENT_LENGTH or not (is_credential(value, False) or is_credential(value, True)):
+                if len(value) < LENIENT_LENGTH or not (is_credential(value, False) or not plain and is_credential(value, True)):
                     continue
-                said = _announced(line, a, b, name)
+                said = _announced(line, a, b, m.groupdict().get("n"))
                 ok = said is not None and is_credential(value, said)
             if ok:
                 add(a, b)
-    return sorted(spans)
+    return spans
 
 
 @lru_cache(maxsize=1)
@@ -287,28 +341,29 @@ def _counts(text: str, end: int, stem: str) -> bool:
     return stem not in _ISSUERS or text.startswith(stem, end + 1 - len(stem))
 
 
-def worth_reading(lines: list[str | None]) -> set[int]:
-    """Numbers (0-based) of all lines that can hold a credential, by themselves or with the next: one pass over the whole text and one over the lines' beginnings."""
+def worth_reading(lines: list[str | None]) -> tuple[set[int], set[int]]:
+    """Numbers (0-based) of all lines that can hold a credential, by themselves or with the next, and of those with a stem: a few passes over the whole text."""
     text = "\n".join(x or "" for x in lines)
     low = (text if text.isascii() else text.translate(_FOLDED)).lower()
-    at = [end for end, stem in _stems().iter(low) if _counts(text, end, stem)]
-    at += [m.start() for m in _LONG.finditer(text) if _DIGIT.search(m[0])]
     starts = list(accumulate((len(x or "") + 1 for x in lines), initial=0))
-    worth = {bisect_right(starts, i) - 1 for i in at}
-    for i, line in enumerate(lines):
+    stems = {bisect_right(starts, end) - 1 for end, stem in _stems().iter(low) if _counts(text, end, stem)}
+    worth = stems | {bisect_right(starts, m.start()) - 1 for m in _LONG.finditer(text) if _DIGIT.search(m[0])}
+    # single lines are looked at where the text has what is sought in them
+    joined, named, later = _JOINED.search(text), "ENV" in text or "ARG" in text, _QUOTE_LATER.search(text)
+    for i, line in enumerate(lines) if joined or named or later else ():
         if not line:
             continue
-        if "+" in line and _JOINED.search(line) or line.lstrip().startswith(("ENV", "ARG")):
+        if joined and "+" in line and _JOINED.search(line) or named and line.lstrip().startswith(("ENV", "ARG")):
             worth.add(i)
-        if i and i - 1 not in worth and lines[i - 1] and _QUOTE_FIRST.match(line) and _ONLY_STRING.match(line) and _OPEN_STRING.search(lines[i - 1]):
+        if later and i and i - 1 not in worth and lines[i - 1] and _QUOTE_FIRST.match(line) and _ONLY_STRING.match(line) and _OPEN_STRING.search(lines[i - 1]):
             worth.add(i - 1)
-    return worth
+    return worth, stems
 
 
 def text_spans(lines: list[str | None]) -> dict[int, list[tuple[int, int]]]:
     """Credential spans of each line (0-based) of one text, private keys and values over several lines included."""
     out: dict[int, list[tuple[int, int]]] = {}
-    worth = worth_reading(lines)
+    worth, stems = worth_reading(lines)
     block: str | None = None
     started = 0
     for i in range(len(lines)) if any("-----" in lines[i] for i in worth) else sorted(worth):
@@ -341,12 +396,12 @@ def text_spans(lines: list[str | None]) -> dict[int, list[tuple[int, int]]]:
             continue
         if block and i > started and line.strip(" /#*;"):
             block = None  # ordinary text again: the block was never closed
-        spans = line_spans(line)
+        spans = line_spans(line, i not in stems)
         if spans:
             out[i] = spans
         # a value that goes on as a string alone on the next lines
-        first = _OPEN_STRING.search(line)
-        if first and i + 1 < len(lines) and lines[i + 1]:
+        first = _OPEN_STRING.search(line) if i + 1 < len(lines) and lines[i + 1] and _QUOTE_FIRST.match(lines[i + 1]) else None
+        if first:
             parts, j = [], i + 1
             while j < len(lines) and lines[j] and (m := _ONLY_STRING.match(lines[j])):
                 parts.append((j, m.span("v"), m["v"]))
